@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from zoneinfo import available_timezones
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Minutes east of UTC of the usual zone abbreviations.
@@ -84,56 +84,67 @@ def known_zone(zone: Column) -> Column:
     return F.when(zone.isin(*sorted(available_timezones())), zone)
 
 
-def utc_micros(parts: Column, zone: Column, month_first: Column) -> Column:
-    """Microseconds since 1970-01-01 UTC of what ``fields`` found; null for impossible dates and times.
+def _settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column behind a generator, so that what is built on it reads the value and does not repeat its expression."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
-    ``zone`` is the IANA zone of values that name none: a local time that occurs twice is the earlier instant,
-    one that is skipped is read with the offset before the change. ``month_first`` orders all-digit dates that
-    end in the year. A zone, offset or bracketed zone in the value counts first. Digits finer than a
-    microsecond are cut off. An unknown zone name makes the value null.
-    """
-    at = [F.try_element_at(parts, F.lit(n + 1)) for n in range(11)]
-    kind = at[0]
-    whole = F.substring_index(at[1], ".", 1)
-    digits = F.rpad(F.when(at[1].contains("."), F.substring_index(at[1], ".", -1)).otherwise(""), 6, "0")
-    epoch = whole.try_cast("bigint") * F.when(F.length(whole) == 10, 1_000_000).when(F.length(whole) == 13, 1_000).otherwise(1) + digits.try_cast("bigint")
 
-    year = at[1].try_cast("int")
-    swap = (kind == "num") & ~month_first
-    month = F.when(swap, at[3].try_cast("int")).otherwise(_month(at[2]))
-    day = F.when(swap, at[2].try_cast("int")).otherwise(at[3].try_cast("int"))
-    hour, minute = F.coalesce(at[4].try_cast("int"), F.lit(0)), F.coalesce(at[5].try_cast("int"), F.lit(0))
-    second, half = F.coalesce(at[6].try_cast("int"), F.lit(0)), F.lower(at[8])
-    hour = F.when(half == "", hour).when(~hour.between(1, 12), None).otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
-    micros = F.rpad(at[7], 6, "0").try_cast("int")
-    time_ok = hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
-    # Day numbers: the year's first day, plus days; ISO week 1 is the week of January 4th.
-    first = F.expr("1") * F.unix_date(_date(year, F.lit(1), F.lit(1)))
-    length = F.unix_date(_date(year + 1, F.lit(1), F.lit(1))) - first
-    fourth = _date(year, F.lit(1), F.lit(4))
-    week_one = F.unix_date(fourth) - F.weekday(fourth)
-    next_fourth = _date(year + 1, F.lit(1), F.lit(4))
-    week_end = F.unix_date(next_fourth) - F.weekday(next_fourth)
-    by_week = week_one + (at[2].try_cast("int") - 1) * 7 + day - 1
-    days = (
-        F.when(kind == "ord", F.when(day.between(1, length), first + day - 1))
-        .when(kind == "week", F.when((at[2].try_cast("int") >= 1) & (by_week < week_end), by_week))
-        .otherwise(F.unix_date(_date(year, month, day)))
-    )
-    local = F.when(time_ok, ((days.cast("bigint") * 24 + hour) * 60 + minute) * 60 + second) * F.lit(1_000_000).cast("bigint") + micros
-    sign = F.when(F.regexp_extract(at[9], r"([+\-−])", 1) == "+", 1).otherwise(-1)
+def with_instant(rows: DataFrame, value: str, zone: Column, month_first: Column, out: str = "utc_us") -> DataFrame:
+    """Adds ``<out>_notation``, ``<out>_parts`` and ``out``: microseconds since 1970-01-01 UTC, null for what denotes no instant.
+
+    ``value`` names the text column; ``zone`` is the IANA zone of values that name none: a local time that occurs
+    twice is the earlier instant, one that is skipped is read with the offset before the change. ``month_first``
+    orders all-digit dates that end in the year; it may use ``<out>_parts``. A zone, offset or bracketed zone in the
+    value counts first. Digits finer than a microsecond are cut off. An unknown zone name makes the value null.
+    """
+    kind_name, parts_name = f"{out}_notation", f"{out}_parts"
+    rows = rows.withColumn("_text", tidy(F.col(value)))
+    rows = _settled(rows, kind_name, notation(F.col("_text")))
+    rows = _settled(rows, parts_name, fields(F.col("_text"), F.col(kind_name)))
+    at = [F.try_element_at(parts_name, F.lit(n + 1)) for n in range(11)]
+    number = lambda n: at[n].try_cast("int")
+    swap = (at[0] == "num") & ~F.coalesce(month_first, F.lit(True))
+    half = F.lower(at[8])
+    hour = F.coalesce(number(4), F.lit(0))
+    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
     away = F.regexp_replace(at[9], r"^[A-Za-z]+|:", "")
-    hours, minutes = F.substring(away, 2, 2).try_cast("int"), F.coalesce(F.substring(away, 4, 2).try_cast("int"), F.lit(0))
-    numeric = at[9].rlike(r"[+\-−]\d")
-    offset = F.when(numeric, F.when((hours <= 18) & (minutes < 60), sign * (hours * 60 + minutes))).otherwise(
-        F.try_element_at(F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair]), F.upper(at[9]))
+    sign = F.when(away.startswith("+"), 1).otherwise(-1)
+    minutes = F.substring(away, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(away, 4, 2).try_cast("int"), F.lit(0))
+    lookup = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
+    offset = F.when(away == "", F.try_element_at(lookup, F.upper(at[9]))).otherwise(F.when(minutes <= 18 * 60, sign * minutes))
+    read = F.struct(
+        at[0].alias("kind"),
+        number(1).alias("year"),
+        F.when(at[0] != "ymd", F.when(swap, number(3)).otherwise(number(2))).otherwise(_month(at[2])).alias("month"),
+        F.when(swap, number(2)).otherwise(number(3)).alias("day"),
+        hour.alias("hour"),
+        F.coalesce(number(5), F.lit(0)).alias("minute"),
+        F.coalesce(number(6), F.lit(0)).alias("second"),
+        F.rpad(at[7], 6, "0").try_cast("int").alias("micros"),
+        (at[9] != "").alias("has_offset"),
+        offset.alias("offset"),
+        known_zone(F.when(at[10] == "", zone).otherwise(at[10])).alias("zone"),
     )
-    named = known_zone(F.when(at[10] == "", zone).otherwise(at[10]))
-    by_zone = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), named))
-    stated = F.when(at[9] != "", local - offset.cast("bigint") * 60_000_000)
-    return F.when(kind == "epoch", epoch).when(at[9] != "", stated).otherwise(F.when(named.isNotNull(), by_zone))
-
-
-def _date(year: Column, month: Column, day: Column) -> Column:
-    """The date, or null if there is none; make_date would raise under ANSI rules."""
-    return F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd")))
+    rows = _settled(rows, "_read", read)
+    r = {n: F.col(f"_read.{n}") for n in ("kind", "year", "month", "day", "hour", "minute", "second", "micros", "has_offset", "offset", "zone")}
+    day_us = F.lit(86_400_000_000).cast("bigint")
+    midnight = lambda year, month, day: F.unix_micros(F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")))
+    one, four = F.lit(1), F.lit(4)
+    fourth = lambda year: F.floor(midnight(year, one, four) / day_us)
+    monday = lambda year: fourth(year) - F.pmod(fourth(year) + 3, F.lit(7))  # noqa: E731  # of ISO week 1, the week of January 4th
+    by_week = monday(r["year"]) + (r["month"] - 1) * 7 + r["day"] - 1
+    by_day = midnight(r["year"], one, one) + (r["day"] - 1) * day_us
+    start = (
+        F.when(r["kind"] == "ord", F.when((r["day"] >= 1) & (by_day < midnight(r["year"] + 1, one, one)), by_day))
+        .when(r["kind"] == "week", F.when((r["month"] >= 1) & (by_week < monday(r["year"] + 1)), by_week * day_us))
+        .otherwise(midnight(r["year"], r["month"], r["day"]))
+    )
+    rows = _settled(rows, "_start", start)
+    clock = F.when(r["hour"].between(0, 23) & r["minute"].between(0, 59) & r["second"].between(0, 59), ((r["hour"] * 60 + r["minute"]) * 60 + r["second"]).cast("bigint"))
+    local = F.col("_start") + clock * F.lit(1_000_000).cast("bigint") + r["micros"]
+    by_zone = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), r["zone"]))
+    whole = F.substring_index(at[1], ".", 1)
+    digits = F.substring(F.rpad(F.when(at[1].contains("."), F.substring_index(at[1], ".", -1)).otherwise(""), 6, "0"), 1, 6)
+    epoch = whole.try_cast("bigint") * F.when(F.length(whole) == 10, 1_000_000).when(F.length(whole) == 13, 1_000).otherwise(1) + digits.try_cast("bigint")
+    result = F.when(r["kind"] == "epoch", epoch).when(r["has_offset"], local - r["offset"].cast("bigint") * 60_000_000).otherwise(F.when(r["zone"].isNotNull(), by_zone))
+    return _settled(rows, out, result).drop("_text", "_read", "_start")

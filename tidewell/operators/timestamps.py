@@ -41,31 +41,29 @@ def normalise_instants(values: DataFrame, sources: DataFrame, certainty: float =
     utc_us (set only for ``read``). A source that is not listed or whose zone is unknown counts as UTC.
     """
     listed = sources.where("source_id is not null").groupBy("source_id").agg(F.min("default_tz").alias("default_tz"), F.min(F.upper("date_order")).alias("date_order"))
-    rows = (
-        values.select("rec_table", "rec_id", "field_name", "value", "source_id")
-        .withColumn("text", instants.tidy("value"))
-        .withColumn("notation", instants.notation(F.col("text")))
-        .withColumn("parts", instants.fields(F.col("text"), F.col("notation")))
-        .join(listed, "source_id", "left")
-        .withColumn("zone", F.coalesce(instants.known_zone(F.col("default_tz")), F.lit("UTC")))
-    )
+    rows = values.select("rec_table", "rec_id", "field_name", "value", "source_id").join(listed, "source_id", "left")
+    zone = F.coalesce(instants.known_zone(F.col("default_tz")), F.lit("UTC"))
+    text = instants.tidy(F.col("value"))
+    digits = text.rlike(next(pattern for name, pattern, _ in instants.NOTATIONS if name == "digits_year_last"))
     # The mixture of each source that declares no order, from all its two-way values.
-    open_rows = rows.where("notation = 'digits_year_last' and (date_order is null or date_order not in ('MDY', 'DMY'))")
-    month, day = (F.try_element_at("parts", F.lit(n)).try_cast("int") for n in (3, 4))
+    undeclared = F.col("date_order").isNull() | ~F.col("date_order").isin("MDY", "DMY")
+    open_rows = rows.where(undeclared & digits).select("source_id", F.split(F.regexp_replace(text, r"^(\d+)[-/.](\d+).*$", "$1|$2"), r"\|").alias("two"))
+    month, day = (F.try_element_at("two", F.lit(n)).try_cast("int") for n in (1, 2))
     can_mdy, can_dmy = month.between(1, 12) & day.between(1, 31), day.between(1, 12) & month.between(1, 31)
     counts = open_rows.groupBy("source_id").agg(F.count_if(can_mdy & ~can_dmy).alias("only_mdy"), F.count_if(can_dmy & ~can_mdy).alias("only_dmy"), F.count_if(can_mdy & can_dmy).alias("both"))
     fitted = counts.select(F.col("source_id").alias("fitted_source"), fit_month_first(F.col("only_mdy"), F.col("only_dmy"), F.col("both")).alias("fitted"))
     rows = rows.join(fitted, F.col("source_id").eqNullSafe(F.col("fitted_source")), "left")
 
     prior = F.when(F.col("date_order") == "MDY", 1.0).when(F.col("date_order") == "DMY", 0.0).otherwise(F.coalesce("fitted", F.lit(0.5)))
-    two_way = F.col("notation") == "digits_year_last"
-    declared = F.col("date_order").isin("MDY", "DMY")
+    month, day = (F.try_element_at("utc_us_parts", F.lit(n)).try_cast("int") for n in (3, 4))
+    can_mdy, can_dmy = month.between(1, 12) & day.between(1, 31), day.between(1, 12) & month.between(1, 31)
     # Likelihood of a reading: 1 if it denotes a date, else 0. A declared order leaves the other no weight.
     as_mdy, as_dmy = F.when(can_mdy, prior).otherwise(0.0), F.when(can_dmy, 1 - prior).otherwise(0.0)
     posterior = F.when(as_mdy + as_dmy > 0, as_mdy / (as_mdy + as_dmy))
-    rows = rows.withColumn("month_first_share", F.when(two_way, posterior))
-    sure = ~two_way | F.coalesce(declared, F.lit(False)) | (F.col("month_first_share") >= certainty) | (F.col("month_first_share") <= 1 - certainty)
-    rows = rows.withColumn("utc_us", instants.utc_micros(F.col("parts"), F.col("zone"), F.coalesce(F.col("month_first_share"), prior) >= 0.5))
+    rows = instants.with_instant(rows, "value", zone, F.coalesce(posterior, prior) >= 0.5)
+    two_way = F.col("utc_us_notation") == "digits_year_last"
+    rows = rows.withColumn("notation", F.col("utc_us_notation")).withColumn("month_first_share", F.when(two_way, posterior))
+    sure = F.coalesce(~two_way, F.lit(True)) | ~undeclared | (F.col("month_first_share") >= certainty) | (F.col("month_first_share") <= 1 - certainty)
     status = F.when(F.col("utc_us").isNull(), "none").when(sure, "read").otherwise("ambiguous")
     return rows.withColumn("status", status).select("rec_table", "rec_id", "field_name", "value", "notation", "month_first_share", "status", F.when(F.col("status") == "read", F.col("utc_us")).alias("utc_us"))
 
