@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import encode, leaks, spans
+from tidewell.llm import encode, fuse, leaks, spans, topn
 from tidewell.shared import table
 
 #: Where the public tokenizers' files lie; a parameter of the encoding query.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return topn.top_events(table(spark, d, "analyzed_events"))
+
+
+def _fusion(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "dup_groups"), table(spark, d, "raw_events"), table(spark, d, "sources")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return fuse.fused_groups(*_fusion(spark, d))
+
+
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every metadata value judged true, and from which member it is taken."""
+    return fuse.true_values(*_fusion(spark, d)).drop("belief")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -28,5 +45,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_near, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p6_found, p6_values, p7_ids, p8_found, p8_near, p9_found)}
 SQL: dict[str, str] = {}
