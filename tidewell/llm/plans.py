@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import encode, fuse, leaks, spans, topn
+from tidewell.llm import encode, fuse, history, leaks, spans, topn
 from tidewell.shared import table
 
 #: Where the public tokenizers' files lie; a parameter of the encoding query.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeated_entries(table(spark, d, "timeline_entries"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_events(table(spark, d, "analyzed_events"))
 
@@ -45,5 +49,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found, p6_values, p7_ids, p8_found, p8_near, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p6_found, p6_values, p7_ids, p8_found, p8_near, p9_found)}
 SQL: dict[str, str] = {}
