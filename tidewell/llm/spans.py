@@ -116,8 +116,13 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def _packed(ids: np.ndarray, which: np.ndarray, hashes: np.ndarray, parts: int, places: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows (bucket, doc_id, hashes[, places]) of hashes grouped by text and hash bucket."""
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The upper half of each hash; the bucket is taken from all of it, so buckets and halves are independent."""
+    return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _packed(ids: np.ndarray, which: np.ndarray, hashes: np.ndarray, parts: int, places: np.ndarray | None = None, short: bool = False) -> pa.RecordBatch:
+    """Rows (bucket, doc_id, hashes[, places]) of hashes, or their upper halves, grouped by text and hash bucket."""
     bucket = (hashes % np.uint64(parts)).astype(np.int64)
     key = which * parts + bucket
     order = np.argsort(key, kind="stable")
@@ -127,7 +132,7 @@ def _packed(ids: np.ndarray, which: np.ndarray, hashes: np.ndarray, parts: int,
     columns = {
         "bucket": pa.array((key[first] % parts).astype(np.int32)),
         "doc_id": pa.array(ids[key[first] // parts]),
-        "hashes": pa.ListArray.from_arrays(offsets, pa.array(hashes[order].view(np.int64))),
+        "hashes": pa.ListArray.from_arrays(offsets, pa.array(_short(hashes[order]) if short else hashes[order].view(np.int64))),
     }
     if places is not None:
         columns["places"] = pa.ListArray.from_arrays(offsets, pa.array(places[order].astype(np.int32)))
@@ -150,8 +155,8 @@ def shared_spans(documents: DataFrame, length: int = 400, doc_id: str = "doc_id"
 
     Returns doc_id and shared_chars, the number of the text's characters (code points, compared exactly) that lie
     in such a run. Rows with a null id or text, and texts shorter than ``length``, have none. Rows that repeat a
-    doc_id with the same text count once. Windows are told apart by 64-bit hashes, after a first 64-bit match of
-    another base at an anchor. The positions of one record are the largest group that is ever collected.
+    doc_id with the same text count once. Anchors only screen, so 32 bits besides the bucket serve for them; windows are
+    told apart by 64-bit hashes of another base. The positions of one record are the largest group that is ever collected.
     """
     period, residues = cover_for(length)
     width, parts = length - period + 1, buckets(documents.sparkSession)
@@ -169,9 +174,9 @@ def shared_spans(documents: DataFrame, length: int = 400, doc_id: str = "doc_id"
             for first, end in _chunks(batch):
                 texts = Texts(batch.column("text")[first:end].to_pylist())
                 which, at = texts.anchors(width, period, residues)
-                yield _packed(ids[first:end], which, texts.hashes(at, width, _BASES[0]), parts)
+                yield _packed(ids[first:end], which, texts.hashes(at, width, _BASES[0]), parts, short=True)
 
-    anchors = single.mapInArrow(anchor_rows, "bucket int, doc_id bigint, hashes array<bigint>")
+    anchors = single.mapInArrow(anchor_rows, "bucket int, doc_id bigint, hashes array<int>")
     met = _shared(anchors, parts, "doc_id", "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("met"))
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +185,7 @@ def shared_spans(documents: DataFrame, length: int = 400, doc_id: str = "doc_id"
             for first, end in _chunks(batch):
                 texts = Texts(batch.column("text")[first:end].to_pylist())
                 which, at = texts.anchors(width, period, residues)
-                found = texts.hashes(at, width, _BASES[0]).view(np.int64)
+                found = _short(texts.hashes(at, width, _BASES[0]))
                 lists = batch.column("met")[first:end]
                 owner = np.repeat(np.arange(end - first), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
                 # A hash met by one text of the chunk may occur in another, which then has met it too or holds no match.
