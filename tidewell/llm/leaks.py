@@ -88,6 +88,11 @@ class PassageIndex:
             if want:
                 exact = text.endswith(" " + want) if at_end else text.startswith(want + " ")
                 if not exact:
+                    # The pigeonhole once more: with the edits left, some part of `want` is untouched in the text.
+                    left_over = most - total
+                    cuts = [len(want) * k // (left_over + 1) for k in range(left_over + 2)]
+                    if not left_over or not any(want[a:b] in text for a, b in zip(cuts, cuts[1:], strict=False)):
+                        return most + 1
                     total += max(1, myers_distance(want, text.rstrip() if at_end else text, most - total, at_end))
                     if total > most:
                         return most + 1
