@@ -22,6 +22,8 @@ from tidewell.shared import kept
 BREAK = "\x01"
 #: Characters that divide, those that enclose, and horizontal white space.
 COMMAS, SEMICOLONS, BARS, BULLETS, QUOTES = ",，、", ";；", "|｜", "•‣◦∙●▪", "\"'“”‘’"
+_BLANK_CODES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 0x0B, 0x0C]
+_LINE_CODES = [0x09, 0x0A, 0x0D, 0x85, 0x2028, 0x2029]
 _BLANK = r" \u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\x0B\x0C"
 _LINE = r"\t\n\r\u0085\u2028\u2029"
 _STOP = rf"{_BLANK}{_LINE}{COMMAS}{SEMICOLONS}{BARS}{BULLETS}&\"“”‘’'()（）{BREAK}"
@@ -41,14 +43,18 @@ def tokens(text: Column) -> Column:
 
 
 def _code(token: Column) -> Column:
+    first, whole = F.substring(token, 1, 1), F.lower(token)
+    single = F.length(token) == 1
     return (
-        F.when(token.rlike(rf"^[{_BLANK}]"), " ")
-        .when(token.rlike(rf"^[{_LINE}{SEMICOLONS}{BARS}{BULLETS}&/]"), F.when(F.length(token) > 1, F.when(token == "&amp;", "|").otherwise("W")).otherwise("|"))
-        .when(token.rlike(rf"^[{COMMAS}]$"), ",")
-        .when(token.rlike(rf"^{_AND}$"), "|")
-        .when(token.rlike(rf"^{_SUFFIX}$"), "J")
-        .when(token.rlike(r"^[\"“”'‘’()（）\x01]$"), F.translate(token, "（）", "()"))
-        .when(token.rlike(rf"[{_BLANK}]"), "W")
+        F.when(first.isin(*[" ", *(chr(c) for c in _BLANK_CODES)]), " ")
+        .when(single & first.isin(*COMMAS), ",")
+        .when(single & first.isin(*(SEMICOLONS + BARS + BULLETS + "&/"), *(chr(c) for c in _LINE_CODES)), "|")
+        .when(whole.isin("&amp;", "and"), "|")
+        .when(whole.isin("jr", "jr.", "sr", "sr.") | (token == "III"), "J")
+        .when(single & first.isin(*QUOTES, "(", ")", BREAK), first)
+        .when(single & (first == "（"), "(")
+        .when(single & (first == "）"), ")")
+        .when(token.contains(" ") | token.rlike(rf"[{_BLANK}]"), "W")
         .otherwise("w")
     )
 
@@ -132,6 +138,7 @@ def split_packed(rows: DataFrame, keys: list[str], field: str, name: str = "auth
     spark = rows.sparkSession
     clean = F.transform(F.filter(field, lambda x: x.isNotNull()), lambda x: F.regexp_replace(F.regexp_replace(x, BREAK, " "), _LEADING_BY, ""))
     cut = rows.select(*keys, tokens(F.array_join(clean, BREAK)).alias("_tokens")).withColumn("_code", skeleton(F.col("_tokens"))).where("_code rlike '[wWJ]'")
+    cut = kept(cut, "tokens")  # read twice below; cutting costs far more than this copy
     plans = kept(cut.select("_code").distinct().withColumn("_plan", _plan("_code")), "skeletons")
     size = plans.select(F.sum(F.length("_code") + F.size("_plan") * 24 + 64)).first()[0] or 0
     cut = cut.join(F.broadcast(plans) if size <= broadcast_bytes else plans, "_code")
