@@ -1,7 +1,7 @@
 """Fuzzy deduplication of events: candidate pairs, pair score, leaders, merge.
 
 Two events are candidates if they have the same URL, or lie at most ``hours`` apart and share one of the chosen
-words of their titles (the rarest words, by a fixed order, of which two titles that share half of all their words
+words of their titles (the rarest words, by a fixed order, of which two titles that share 70 % of all their words
 must have one in common). Pairs whose titles have almost no word in common, alike only letter by letter, are not
 candidates; comparing every pair of a time window grows with the square of the events and is left out on purpose.
 """
@@ -31,7 +31,7 @@ def prepared_events(events: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(prepared: DataFrame, hours: int = 48, share_tenths: int = 5) -> DataFrame:
+def candidate_pairs(prepared: DataFrame, hours: int = 48, share_tenths: int = 7) -> DataFrame:
     """Distinct (i, j) with i < j: equal URLs, or near in time with a common chosen title word.
 
     An equal URL links every event to the first one with it only and to its next one, so a URL that millions of
@@ -51,25 +51,35 @@ def candidate_pairs(prepared: DataFrame, hours: int = 48, share_tenths: int = 5)
     return near.select(F.col("event_seq").alias("i"), "j").unionByName(linked).distinct()
 
 
-def pair_score(a: str, b: str, hours: int = 48) -> Column:
-    """0.5 title + 0.3 content (if both have any) + 0.1 same domain + 0.1 nearness; 1 for equal URLs."""
+def duplicate_pairs(events: DataFrame, least: float = 0.6, hours: int = 48) -> DataFrame:
+    """i, j, score of the candidates that score at least ``least``.
+
+    The score is 0.5 title + 0.3 content (if both have any) + 0.1 same domain + 0.1 nearness, and 1 for equal URLs.
+    Contents are compared only where the rest of the score leaves a chance.
+    """
+    prepared = kept(prepared_events(events), "prepared")
+    narrow, width = prepared.drop("nc", "source"), float(hours * 3_600_000)
     c = lambda side, name: F.col(f"{side}.{name}")
-    width = float(hours * 3_600_000)
-    gap = F.abs(F.floor(c(a, "ts_us") / 1000) - F.floor(c(b, "ts_us") / 1000))
-    content = F.when(c(a, "has_content") & c(b, "has_content"), text.text_similarity(c(a, "nc"), c(b, "nc")) * 0.3).otherwise(0.0)
-    title = text.text_similarity(c(a, "nt"), c(b, "nt")) * 0.5
-    domain = F.when(c(a, "domain") == c(b, "domain"), 0.1).otherwise(0.0)
-    near = (1 - gap / width) * 0.1
-    return F.when(c(a, "url") == c(b, "url"), 1.0).otherwise(F.when(gap <= width, title + content + domain + near).otherwise(0.0))
+    pairs = candidate_pairs(prepared, hours).join(narrow.alias("a"), F.col("i") == c("a", "event_seq")).join(narrow.alias("b"), F.col("j") == c("b", "event_seq"))
+    gap = F.abs(F.floor(c("a", "ts_us") / 1000) - F.floor(c("b", "ts_us") / 1000))
+    same_url = F.coalesce(c("a", "url") == c("b", "url"), F.lit(False))
+    rated = pairs.where(same_url | (gap <= width)).select(
+        "i", "j", same_url.alias("same_url"),
+        (F.when(same_url, 1.0).otherwise(text.text_similarity(c("a", "nt"), c("b", "nt"))) * 0.5).alias("title"),
+        F.when(c("a", "domain") == c("b", "domain"), 0.1).otherwise(0.0).alias("domain"),
+        ((1 - gap / width) * 0.1).alias("near"),
+        (c("a", "has_content") & c("b", "has_content")).alias("both"),
+    )
+    rated = kept(rated.where(same_url_or(F.col("title") + F.col("domain") + F.col("near") + F.when(F.col("both"), 0.3).otherwise(0.0) >= least - 1e-6)), "rated")
+    bodies = lambda name, key: prepared.select(F.col("event_seq").alias(key), F.col("nc").alias(name))
+    open_ones = rated.where("both and not same_url").join(bodies("ca", "i"), "i").join(bodies("cb", "j"), "j").withColumn("content", text.text_similarity(F.col("ca"), F.col("cb")) * 0.3)
+    score = F.col("title") + F.col("content") + F.col("domain") + F.col("near")
+    settled = rated.where("not both or same_url").withColumn("content", F.lit(0.0)).select("i", "j", F.when(F.col("same_url"), 1.0).otherwise(score).alias("score"))
+    return open_ones.select("i", "j", score.alias("score")).unionByName(settled).where(F.col("score") >= least)
 
 
-def duplicate_pairs(events: DataFrame, least: float = 0.6, hours: int = 48) -> DataFrame:
-    """i, j, score of the candidates that score at least ``least``."""
-    prepared = kept(prepared_events(events), "prepared")
-    pairs = candidate_pairs(prepared, hours)
-    a, b = prepared.alias("a"), prepared.alias("b")
-    scored = pairs.join(a, F.col("i") == F.col("a.event_seq")).join(b, F.col("j") == F.col("b.event_seq"))
-    return scored.select("i", "j", pair_score("a", "b", hours).alias("score")).where(F.col("score") >= least)
+def same_url_or(condition: Column) -> Column:
+    return F.col("same_url") | condition
 
 
 def leaders(pairs: DataFrame) -> DataFrame:

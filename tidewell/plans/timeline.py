@@ -181,7 +181,7 @@ _PREPARED = f"""prepared as (select event_seq, source, url, epoch_us(event_date)
 words as (select event_seq, ts, unnest(list_distinct(string_split(nt, ' '))) as word from prepared),
 counts as (select word, count(*) as n from words where word <> '' group by word),
 ranked as (select event_seq, ts, words.word, row_number() over (partition by event_seq order by n, words.word) as r, count(*) over (partition by event_seq) as c from words join counts on words.word = counts.word),
-chosen as (select event_seq, ts, word from ranked where r <= c - cast(ceil(c * 5 / 10.0) as int) + 1),
+chosen as (select event_seq, ts, word from ranked where r <= c - cast(ceil(c * 7 / 10.0) as int) + 1),
 chains as (select event_seq, lag(event_seq) over (partition by url order by event_seq) as before, min(event_seq) over (partition by url order by event_seq) as first from prepared where url is not null),
 candidates as (select distinct i, j from (select a.event_seq as i, b.event_seq as j from chosen a join chosen b on a.word = b.word where a.event_seq < b.event_seq and abs(a.ts - b.ts) <= 172800000000
 union all select before, event_seq from chains where before is not null union all select first, event_seq from chains where before is not null)),
