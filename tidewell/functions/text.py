@@ -115,7 +115,7 @@ def rounded_half_up(x: Column, digits: int = 1) -> Column:
 def without_prompt(text: Column) -> Column:
     """A model's text without the lines and phrases of the prompt, on one line."""
     lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")
-    lines = F.filter(F.transform(lines, F.trim), lambda x: ~x.rlike(PROMPT_LINES))
+    lines = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: ~x.rlike(PROMPT_LINES))
     lines = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?i)^title:\s*", ""), PROMPT_PHRASES, " ")))
     return squeezed(F.array_join(F.filter(lines, lambda x: x != ""), " "))
 
@@ -150,7 +150,7 @@ def is_low_quality(description: Column, title: Column) -> Column:
 
 def key_takeaways(insights: Column) -> Column:
     """``Key takeaways:`` and the first two insights as sentences; null without any."""
-    kept = F.slice(F.filter(F.transform(insights, F.trim), lambda x: x != ""), 1, 2)
+    kept = F.slice(F.filter(F.transform(insights, lambda x: F.trim(x)), lambda x: x != ""), 1, 2)
     ended = F.transform(kept, lambda x: F.when(x.rlike(r"[.!?]$"), x).otherwise(F.concat(x, F.lit("."))))
     return F.when(F.size(kept) > 0, F.concat(F.lit("Key takeaways: "), F.array_join(ended, " ")))
 
@@ -164,4 +164,4 @@ def json_payload(text: Column) -> Column:
 
 def comma_and_authors(text: Column) -> Column:
     """Authors split at commas and the letters ``and``, wherever they stand (I15; see packed.split_packed for names)."""
-    return F.filter(F.transform(F.split(text, r",|and"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r",|and"), lambda x: F.trim(x)), lambda x: x != "")

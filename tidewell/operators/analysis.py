@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.functions import text
 
@@ -78,7 +79,7 @@ def analysed(events: DataFrame, ask: Callable[[], Callable[[list[str]], list[str
     A row whose prompt gets no answer keeps a null, so that later steps decide about it. Write the result before
     reading it twice: a call is not free of cost.
     """
-    schema = events.schema.add(out, "string")
+    schema = T.StructType([*events.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = ask()
