@@ -203,7 +203,7 @@ class HistoryStore:
             first = seen.where("(by_id is null or by_id = entry_seq) and (by_wc is null or by_wc = entry_seq)").select("entry_seq", "idh", "wc")
             first = kept(first, "accepted")
             accepted = first if accepted is None else accepted.unionByName(first)
-            waiting = kept(nearest(first, waiting).where("by_id is null and by_wc is null").select("entry_seq", "idh", "wc"), "waiting")
+            waiting = kept(nearest(first, waiting).where("by_id is null and by_wc is null and (idh is not null or wc is not null)").select("entry_seq", "idh", "wc"), "waiting")
             if waiting.isEmpty():
                 break
         rest = fresh.select("entry_seq", "idh", "wc").join(accepted.select("entry_seq"), "entry_seq", "left_anti")

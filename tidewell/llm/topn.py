@@ -49,7 +49,7 @@ def clustered_layout(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataF
     path = scratch_path(rows.sparkSession, "clustered")
     layout = binned.join(deep.select(*group, "bin", "block"), [*group, "bin"], "left").withColumn("block", F.coalesce("block", F.lit(0)))
     layout.drop("bin").sortWithinPartitions(*group, F.desc("score")).write.partitionBy("block").parquet(path)
-    return rows.sparkSession.read.parquet(path), deep.groupBy(*group, "block").agg(F.max("top").alias("top"))
+    return rows.sparkSession.read.schema(layout.drop("bin").schema).parquet(path), deep.groupBy(*group, "block").agg(F.max("top").alias("top"))
 
 
 def top_events(events: DataFrame, n: int = 3, block_rows: int = 256) -> DataFrame:
