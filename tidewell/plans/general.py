@@ -43,4 +43,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_lifespans, p3_found, p3_notations, p5_found)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_lifespans": """with docs as (select feed, file_no, payload from pwc_raw where json_valid(payload) and json_type(payload) = 'OBJECT'),
+files as (select feed, file_no, row_number() over (partition by feed order by file_no) as file_at from (select distinct feed, file_no from pwc_raw)),
+seen as (select distinct feed, file_no, unnest(json_keys(payload)) as key from docs),
+runs as (select feed, file_no, key, file_at - row_number() over (partition by feed, key order by file_at) as island from seen join files using (feed, file_no))
+select feed, key, min(file_no) as first_file, max(file_no) as last_file, count(*) as files from runs group by feed, key, island""",
+}
