@@ -50,4 +50,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p4_found, p6_found, p6_values, p7_ids, p8_found, p8_near, p9_found)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": """select source_id, event_day, rnk, event_id from (select source_id, event_id, event_day, row_number() over (partition by source_id, event_day order by impact_score desc, t desc, event_id) as rnk from
+(select *, strftime(t, '%Y-%m-%d') as event_day from (select distinct source_id, event_id, impact_score, try_cast(event_date as timestamptz) at time zone 'UTC' as t from analyzed_events
+where source_id is not null and impact_score >= 0 and impact_score <= 10 and not isnan(impact_score)) where t is not null)) where rnk <= 3""",
+}
