@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once per context, so that tasks can import it where it isn't installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_tidewell_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="tidewell-"), "tidewell")
+        context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package)))
+        context._tidewell_shipped = True
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
