@@ -54,4 +54,17 @@ SQL: dict[str, str] = {
     "p4_found": """select source_id, event_day, rnk, event_id from (select source_id, event_id, event_day, row_number() over (partition by source_id, event_day order by impact_score desc, t desc, event_id) as rnk from
 (select *, strftime(t, '%Y-%m-%d') as event_day from (select distinct source_id, event_id, impact_score, try_cast(event_date as timestamptz) at time zone 'UTC' as t from analyzed_events
 where source_id is not null and impact_score >= 0 and impact_score <= 10 and not isnan(impact_score)) where t is not null)) where rnk <= 3""",
+    "p6_found": """with ev as (select distinct event_seq, source, event_date, content, metadata from raw_events),
+src as (select k, max(p) as p from (select lower(regexp_replace(unnest([source_id, source_name]), '[\\s\\p{Z}_-]+', '', 'g')) as k, coalesce(priority, 0) as p from sources) group by k),
+mem as (select group_id, seq, min(pos) as pos from (select group_id, unnest(duplicates) as seq, generate_subscripts(duplicates, 1) as pos from dup_groups) group by group_id, seq),
+m as (select mem.*, coalesce(src.p, 0) as pr, event_date, content, case when not json_valid(metadata) then null when json_type(metadata) = 'OBJECT' then metadata
+when json_type(metadata) = 'VARCHAR' and json_valid(json_extract_string(metadata, '$')) and json_type(json_extract_string(metadata, '$')) = 'OBJECT' then json_extract_string(metadata, '$') end as md
+from mem join ev on ev.event_seq = mem.seq left join src on src.k = lower(regexp_replace(coalesce(source, ''), '[\\s\\p{Z}_-]+', '', 'g'))),
+mm as (select *, count(*) over (partition by group_id) as n from m),
+pri as (select group_id, seq from (select *, row_number() over (partition by group_id order by pr desc, pos) as r from mm where n >= 2) where r = 1),
+con as (select group_id, seq from (select mm.*, row_number() over (partition by mm.group_id order by length(content) desc, mm.seq = pri.seq desc, pos) as r from mm join pri on mm.group_id = pri.group_id where trim(content, chr(32) || chr(9) || chr(10) || chr(13)) <> '') where r = 1),
+val as (select group_id, k, seq, pr, event_date, json_extract(md, '$.' || k) as v, json_extract_string(md, '$.' || k) as s from mm, (select unnest(['authors', 'summary', 'license', 'repo_url', 'reading_minutes', 'doi', 'lang']) as k) where n >= 2 and md is not null),
+met as (select group_id, k, seq from (select *, row_number() over (partition by group_id, k order by pr desc, event_date desc nulls last, seq) as r from val
+where v is not null and json_type(v) <> 'NULL' and cast(v as varchar) not in ('[]', '{}') and not (json_type(v) = 'VARCHAR' and lower(trim(s)) in ('', 'n/a'))) where r = 1)
+select group_id, 'primary' as field_name, seq as event_seq from pri union all select group_id, 'content', seq from con union all select group_id, 'metadata.' || k, seq from met""",
 }
