@@ -67,4 +67,13 @@ val as (select group_id, k, seq, pr, event_date, json_extract(md, '$.' || k) as
 met as (select group_id, k, seq from (select *, row_number() over (partition by group_id, k order by pr desc, event_date desc nulls last, seq) as r from val
 where v is not null and json_type(v) <> 'NULL' and cast(v as varchar) not in ('[]', '{}') and not (json_type(v) = 'VARCHAR' and lower(trim(s)) in ('', 'n/a'))) where r = 1)
 select group_id, 'primary' as field_name, seq as event_seq from pri union all select group_id, 'content', seq from con union all select group_id, 'metadata.' || k, seq from met""",
+    "p8_found": """with d as (select doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+t as (select item_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') as w from eval_items where text is not null),
+dg as (select doc_id, array_to_string(w[i:i + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d where len(w) >= 12)),
+tg as (select item_id, array_to_string(w[i:i + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from t where len(w) >= 12))
+select distinct doc_id, item_id from dg join tg on dg.g = tg.g""",
+    "p9_found": """with w as (select doc_id, i, md5(substring(text, i, 400)) as h from (select doc_id, text, unnest(range(1, length(text) - 398)) as i from documents where length(text) >= 400)),
+s as (select h from w group by h having count(distinct doc_id) > 1),
+c as (select doc_id, i, lead(i) over (partition by doc_id order by i) as following from (select distinct doc_id, i from w where h in (select h from s)))
+select doc_id, cast(sum(least(coalesce(following - i, 400), 400)) as bigint) as shared_chars from c group by doc_id""",
 }
