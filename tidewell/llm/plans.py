@@ -76,4 +76,13 @@ select distinct doc_id, item_id from dg join tg on dg.g = tg.g""",
 s as (select h from w group by h having count(distinct doc_id) > 1),
 c as (select doc_id, i, lead(i) over (partition by doc_id order by i) as following from (select distinct doc_id, i from w where h in (select h from s)))
 select doc_id, cast(sum(least(coalesce(following - i, 400), 400)) as bigint) as shared_chars from c group by doc_id""",
+    "p2_found": """with recursive e as (select entry_seq, id, try_cast(substring(event_date, 1, 10) as date) as day, list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+')) as w from timeline_entries),
+pairs as (select a.entry_seq as i, b.entry_seq as j from e a join e b on a.id = b.id where a.entry_seq < b.entry_seq
+union select a.entry_seq, b.entry_seq from e a join e b on b.day between a.day - 3 and a.day + 3 where a.entry_seq < b.entry_seq and len(a.w) > 0 and len(b.w) > 0
+and 10 * len(list_intersect(a.w, b.w)) >= 6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+nodes as (select v, row_number() over (order by v) as k, early from (select v, list(u) filter (u is not null) as early from (select j as v, i as u from pairs union all select i, null from pairs) group by v)),
+walk as (select 0::bigint as k, []::bigint[] as taken union all
+select nodes.k, case when len(list_intersect(coalesce(nodes.early, []), walk.taken)) = 0 then list_append(walk.taken, nodes.v) else walk.taken end from walk join nodes on nodes.k = walk.k + 1),
+accepted as (select unnest(taken) as v from (select taken from walk order by k desc limit 1))
+select min(i) as kept_seq, j as dup_seq from pairs where i in (select v from accepted) and j not in (select v from accepted) group by j""",
 }
