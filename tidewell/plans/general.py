@@ -49,4 +49,20 @@ files as (select feed, file_no, row_number() over (partition by feed order by fi
 seen as (select distinct feed, file_no, unnest(json_keys(payload)) as key from docs),
 runs as (select feed, file_no, key, file_at - row_number() over (partition by feed, key order by file_at) as island from seen join files using (feed, file_no))
 select feed, key, min(file_no) as first_file, max(file_no) as last_file, count(*) as files from runs group by feed, key, island""",
+    "p1_found": """with files as (select feed, file_no, row_number() over (partition by feed order by file_no) as place from (select distinct feed, file_no from pwc_raw)),
+docs as (select feed, file_no, place, payload, json_extract_string(payload, '$.id') as paper from pwc_raw join files using (feed, file_no) where json_valid(payload) and json_type(payload) = 'OBJECT'),
+kv as (select feed, file_no, place, paper, key, cast(json_extract(payload, '$."' || key || '"') as varchar) as v, json_type(payload, '$."' || key || '"') as t from (select *, unnest(json_keys(payload)) as key from docs)),
+seen as (select feed, file_no, place, key, coalesce(string_agg(distinct case t when 'NULL' then null when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end, '|' order by
+case t when 'NULL' then null when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end), '') as types from kv group by feed, file_no, place, key),
+runs as (select *, place - row_number() over (partition by feed, key order by place) as island, lag(place) over (partition by feed, key order by place) as before, lead(place) over (partition by feed, key order by place) as after from seen),
+back as (select *, row_number() over (partition by feed, key, island order by place) as nth, last_value(nullif(types, '') ignore nulls) over (partition by feed, key, island order by place rows between unbounded preceding and 1 preceding) as earlier from runs),
+gone as (select feed, place + 1 as place, key as a from runs where (after is null or after > place + 1) and place < (select max(f.place) from files f where f.feed = runs.feed)),
+born as (select feed, place, key as b from runs where place > 1 and (before is null or before < place - 1)),
+ren as (select g.feed, g.place, a, b from gone g join born n on g.feed = n.feed and g.place = n.place join kv x on x.feed = g.feed and x.place = g.place - 1 and x.key = a and x.t <> 'NULL'
+join kv y on y.feed = g.feed and y.place = g.place and y.key = b and y.t <> 'NULL' and y.paper = x.paper group by all having bool_and(x.v = y.v)),
+found as (select feed, place, 'renamed' as change_kind, a as field_name, b as new_name from ren
+union all select feed, place, 'removed', a, '' from gone where not exists (select 1 from ren where ren.feed = gone.feed and ren.place = gone.place and ren.a = gone.a)
+union all select feed, place, 'added', b, '' from born where not exists (select 1 from ren where ren.feed = born.feed and ren.place = born.place and ren.b = born.b)
+union all select feed, place, 'retyped', key, types from back where nth > 1 and types <> '' and earlier <> types)
+select feed, file_no, change_kind, field_name, new_name from found join files using (feed, place)""",
 }
