@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import instants
+from tidewell.shared import broadcast_if_small, kept
 
 #: The canonical notation; a value written exactly so needs no normalisation.
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
@@ -41,7 +42,7 @@ def normalise_instants(values: DataFrame, sources: DataFrame, certainty: float =
     utc_us (set only for ``read``). A source that is not listed or whose zone is unknown counts as UTC.
     """
     listed = sources.where("source_id is not null").groupBy("source_id").agg(F.min("default_tz").alias("default_tz"), F.min(F.upper("date_order")).alias("date_order"))
-    rows = values.select("rec_table", "rec_id", "field_name", "value", "source_id").join(listed, "source_id", "left")
+    rows = values.select("rec_table", "rec_id", "field_name", "value", "source_id").join(broadcast_if_small(listed), "source_id", "left")
     zone = F.coalesce(instants.known_zone(F.col("default_tz")), F.lit("UTC"))
     text = instants.tidy(F.col("value"))
     digits = text.rlike(next(pattern for name, pattern, _ in instants.NOTATIONS if name == "digits_year_last"))
@@ -52,6 +53,8 @@ def normalise_instants(values: DataFrame, sources: DataFrame, certainty: float =
     can_mdy, can_dmy = month.between(1, 12) & day.between(1, 31), day.between(1, 12) & month.between(1, 31)
     counts = open_rows.groupBy("source_id").agg(F.count_if(can_mdy & ~can_dmy).alias("only_mdy"), F.count_if(can_dmy & ~can_mdy).alias("only_dmy"), F.count_if(can_mdy & can_dmy).alias("both"))
     fitted = counts.select(F.col("source_id").alias("fitted_source"), fit_month_first(F.col("only_mdy"), F.col("only_dmy"), F.col("both")).alias("fitted"))
+    # One row per source without a declared order: kept, counted and broadcast, so that no source's rows are gathered.
+    fitted = broadcast_if_small(kept(fitted, "mixtures"))
     rows = rows.join(fitted, F.col("source_id").eqNullSafe(F.col("fitted_source")), "left")
 
     prior = F.when(F.col("date_order") == "MDY", 1.0).when(F.col("date_order") == "DMY", 0.0).otherwise(F.coalesce("fitted", F.lit(0.5)))
