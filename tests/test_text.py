@@ -25,9 +25,9 @@ def test_clean_up_cascade(spark):
 
 
 def test_ids_and_keys(spark):
-    rows = [("2024-01-15", "OpenAI Releases GPT-5: A Major Breakthrough!"), ("2024-01-15", "AI & ML: What's Next? (2024 Edition)"), ("2024-01-15", "x" * 90)]
+    rows = [("2024-01-15", "Alpha Lab Opens Beta-5: A Big Step!"), ("2024-01-15", "AI & ML: What's Next? (2024 Edition)"), ("2024-01-15", "x" * 90)]
     got = _values(spark, rows, "d string, t string", text.event_id(F.to_date("d"), F.col("t")), text.month_key(F.to_date("d"), F.col("t")))
-    assert got[0] == ("2024-01-15-openai-releases-gpt-5-a-major-breakthrough", "2024-01-openai-releases-gpt-5-a-major-breakthrough")
+    assert got[0] == ("2024-01-15-alpha-lab-opens-beta-5-a-big-step", "2024-01-alpha-lab-opens-beta-5-a-big-step")
     assert got[1][0] == "2024-01-15-ai-ml-what-s-next-2024-edition"
     assert len(got[2][0]) == 61
 

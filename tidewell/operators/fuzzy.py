@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from tidewell.functions import text, urls
 from tidewell.shared import kept
 
-#: How far source names are trusted when none is declared.
-NAMED_PRIORITY = {"OpenAI Blog": 10, "Anthropic": 9, "Google AI": 9, "ArXiv": 8, "MIT Technology Review": 7, "The Verge": 6, "VentureBeat": 6, "TechCrunch": 5, "HackerNews": 4}
-
 
 def prepared_events(events: DataFrame) -> DataFrame:
     """event_seq, ts_us, url, domain, nt, nc: what pairs are compared by, one row per event_seq."""
