@@ -8,8 +8,10 @@ the shared anchors only, every full window of ``length`` characters is then look
 windows: that extends each anchor exactly as far as some other record agrees.
 
 Work is shared out by hash values, never by pairs of records: a passage that a third of the records repeat costs
-one row per record and window. Records with equal texts are one text here and are settled at once (all of such a
-text is shared). Rows of hashes travel packed by record and hash bucket, which keeps the exchange small.
+one row per record and window. Such a passage is no hot key either: of the records that meet in one chunk of a task
+only two go to the hash's own bucket, as witnesses for the other tasks; the rest are known to share it and are spread
+over the buckets of their ids. Records with equal texts are one text here and are settled at once (all of such a text
+is shared). Rows of hashes travel packed by record and hash bucket, which keeps the exchange small.
 """
 
 from __future__ import annotations
@@ -121,17 +123,35 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _met_here(owners: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which rows share their hash with other records of the chunk, but for two witnesses a hash (its least and its greatest record)."""
+    if not len(hashes):
+        return np.zeros(0, bool)
+    order = np.argsort(hashes, kind="stable")
+    held, of = hashes[order], owners[order]
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    sizes = np.diff(np.append(first, len(held)))
+    least, most = np.repeat(np.minimum.reduceat(of, first), sizes), np.repeat(np.maximum.reduceat(of, first), sizes)
+    met = np.zeros(len(hashes), bool)
+    met[order] = (of != least) & (of != most)
+    return met
+
+
 def _packed(ids: np.ndarray, which: np.ndarray, hashes: np.ndarray, parts: int, places: np.ndarray | None = None, short: bool = False) -> pa.RecordBatch:
-    """Rows (bucket, doc_id, hashes[, places]) of hashes, or their upper halves, grouped by text and hash bucket."""
-    bucket = (hashes % np.uint64(parts)).astype(np.int64)
-    key = which * parts + bucket
+    """Rows (bucket, doc_id, met, hashes[, places]) of hashes, or their upper halves, grouped by text and bucket."""
+    owners = ids[which]
+    met = _met_here(owners, hashes)
+    spread = np.where(met, _mixed(owners.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), hashes)
+    bucket = (spread % np.uint64(parts)).astype(np.int64)
+    key = (which * parts + bucket) * 2 + met
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     offsets = pa.array(np.append(first, len(key)).astype(np.int32))
     columns = {
-        "bucket": pa.array((key[first] % parts).astype(np.int32)),
-        "doc_id": pa.array(ids[key[first] // parts]),
+        "bucket": pa.array((key[first] // 2 % parts).astype(np.int32)),
+        "doc_id": pa.array(ids[key[first] // 2 // parts]),
+        "met": pa.array(key[first] % 2 == 1),
         "hashes": pa.ListArray.from_arrays(offsets, pa.array(_short(hashes[order]) if short else hashes[order].view(np.int64))),
     }
     if places is not None:
@@ -143,11 +163,12 @@ def _shared(packed: DataFrame, parts: int, *columns: str) -> DataFrame:
     """The rows, unpacked, whose hash occurs under more than one doc_id; one exchange, of the packed rows."""
     spread = packed.repartition(parts, "bucket")
     inner = F.explode(F.arrays_zip("hashes", "places")).alias("x") if "places" in packed.columns else F.explode("hashes").alias("x")
-    rows = spread.select("bucket", "doc_id", inner)
-    rows = rows.select("bucket", "doc_id", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place")) if "places" in packed.columns else rows.select("bucket", "doc_id", F.col("x").alias("hash"))
+    rows = spread.select("bucket", "doc_id", "met", inner)
+    one = [F.col("x.hashes").alias("hash"), F.col("x.places").alias("place")] if "places" in packed.columns else [F.col("x").alias("hash")]
+    rows = rows.select("bucket", "doc_id", "met", *one)
     alike = Window.partitionBy("hash", "bucket")  # clustered by bucket already: no further exchange
     marked = rows.withColumn("least", F.min("doc_id").over(alike)).withColumn("most", F.max("doc_id").over(alike))
-    return marked.where("least <> most").select(*columns)
+    return marked.where("met or least <> most").select(*columns)
 
 
 def shared_spans(documents: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,7 +197,7 @@ def shared_spans(documents: DataFrame, length: int = 400, doc_id: str = "doc_id"
                 which, at = texts.anchors(width, period, residues)
                 yield _packed(ids[first:end], which, texts.hashes(at, width, _BASES[0]), parts, short=True)
 
-    anchors = single.mapInArrow(anchor_rows, "bucket int, doc_id bigint, hashes array<int>")
+    anchors = single.mapInArrow(anchor_rows, "bucket int, doc_id bigint, met boolean, hashes array<int>")
     met = _shared(anchors, parts, "doc_id", "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("met"))
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +223,7 @@ def shared_spans(documents: DataFrame, length: int = 400, doc_id: str = "doc_id"
                 yield _packed(ids[first:end], of, texts.hashes(starts, length, _BASES[1]), parts, local)
 
     candidates = docs.join(met, "doc_id").select("doc_id", "text", "met")
-    windows = candidates.mapInArrow(window_rows, "bucket int, doc_id bigint, hashes array<bigint>, places array<int>")
+    windows = candidates.mapInArrow(window_rows, "bucket int, doc_id bigint, met boolean, hashes array<bigint>, places array<int>")
     starts = _shared(windows, parts, "doc_id", "place").groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("at"))
     gaps = F.zip_with(F.slice("at", 2, 1 << 30), F.slice("at", F.lit(1), F.greatest(F.size("at") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(length)))
     covered = F.aggregate(gaps, F.lit(length).cast("bigint"), lambda total, gap: total + gap)
