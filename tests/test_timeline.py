@@ -55,6 +55,72 @@ def test_duplicate_pairs(spark):
     assert [(m.leader, m.primary_seq, m.content_seq, m.duplicate_count) for m in merged] == [(1, 1, 1, 3)]
 
 
+def test_classes_are_pairs_of_each_other(spark):
+    rng = random.Random(7)
+    pairs, classes, want = [], [], {}
+    for graph in range(40):
+        nodes = [graph * 100 + n for n in range(rng.randint(2, 12))]
+        edges = {(i, j) for i in nodes for j in nodes if i < j and rng.random() < 0.15}
+        pairs += edges
+        cls = {}
+        for v in nodes:
+            if rng.random() < 0.6:
+                cls.setdefault(rng.randint(0, 1), []).append(v)
+        for held in cls.values():
+            if len(held) > 1:
+                classes += [(v, held[0]) for v in held]
+                edges |= {(i, j) for i in held for j in held if i < j}
+        lead = []
+        for v in sorted({x for e in edges for x in e}):
+            near = [u for u in lead if (u, v) in edges]
+            want[v] = near[0] if near else v
+            if not near:
+                lead.append(v)
+    got = {r.member: r.leader for r in fuzzy.leaders(spark.createDataFrame(pairs, "i bigint, j bigint"), spark.createDataFrame(classes, "event_seq bigint, first bigint")).collect()}
+    assert got == want
+
+
+def test_url_shared_by_a_member_of_another_group(spark):
+    """Event 2 belongs to 1; 3, 4 and 5 share its URL but not 1's, so 3 leads them."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, "Alpha opens Betagamma agent", t0, "https://a.org/1"), (2, "Alpha opens Betagamma agent", t0, "https://a.org/2")]
+    rows += [(n, f"Other{n} thing{n}", t0 + timedelta(days=100 * n), "https://a.org/2") for n in (3, 4, 5)]
+    events = spark.createDataFrame([(a, b, c, "s", u, None) for a, b, c, u in rows], "event_seq bigint, title string, event_date timestamp, source string, url string, content string")
+    assert {(r.member, r.leader) for r in fuzzy.duplicate_groups(events).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)}
+    assert fuzzy.duplicate_groups(events.limit(0)).count() == 0
+
+
+def test_sliding_counts_across_slots(spark):
+    rng = random.Random(3)
+    rows = [(n, rng.choice(["a", "b", None]), None if n % 10 == 0 else datetime(2024, 1, 1) + timedelta(seconds=rng.randint(0, 400))) for n in range(200)]
+    got = {r.n: r.in_window for r in stats.sliding_failures(spark.createDataFrame(rows, "n bigint, k string, t timestamp"), "k", "t", 60).collect()}
+    for n, k, t in rows:
+        same = [u for _, x, u in rows if x == k]
+        assert got[n] == (sum(u is None for u in same) if t is None else sum(u is not None and timedelta(0) <= t - u <= timedelta(seconds=60) for u in same))
+
+
+def test_budget_across_blocks(spark):
+    rng = random.Random(4)
+    rows = [(n, rng.choice(["a", "b", None]), rng.choice([None, "", "x" * rng.randint(1, 40)])) for n in rng.sample(range(1000), 200)]
+    got = {r.n: r.running for r in analysis.within_budget(spark.createDataFrame(rows, "n bigint, k string, t string"), "k", "n", "t", 60, 10).collect()}
+    want, totals = {}, {}
+    for n, k, t in sorted(rows, key=lambda r: r[0]):
+        totals[k] = totals.get(k, 0) + -(-len(t or "") // 4)
+        if totals[k] <= 60:
+            want[n] = totals[k]
+    assert got == want
+
+
+def test_sentences_and_violations(spark):
+    texts = spark.createDataFrame([("One.  Two! " + "x" * 200,), ("",), (None,), ("..",)], "t string")
+    assert [r.s for r in texts.select(analysis.first_sentences(F.col("t"), 3).alias("s")).collect()] == [["One", "Two", "x" * 160], [], None, []]
+    schema = "id string, title string, event_date string, description string, category string, sources array<string>, url string, impact_score double, significance struct<technological_breakthrough:double,industry_impact:double,adoption_scale:double,novelty:double>"
+    good = ("2024-01-01-a", "T", "2024-01-01T00:00:00.000Z", "D", "product", ["https://a.org/1"], None, 5.0, (1.0, 2.0, 3.0, 10.0))
+    bad = ("2024-1-1-a", "", "2024-01-01", None, "other", ["no"], "no", float("nan"), (1.0, None, 3.0, 4.0))
+    got = [r.v for r in spark.createDataFrame([good, bad, (None,) * 9], schema).select(analysis.violations().alias("v")).collect()]
+    assert got == [[], ["id", "title", "date", "description", "category", "sources", "url", "impact_score", "significance"], ["id", "title", "date", "description", "category", "sources", "impact_score", "significance"]]
+
+
 def test_new_entries_and_conflicts(spark):
     old = _entries(spark, [(1, "a", "Same Title", "2024-01-03", "x")])
     new = _entries(spark, [(2, "a", "Other", "2024-02-01", "x"), (3, "b", "same title!", "2024-01-20", "x"), (4, "c", "Fresh", "2024-02-02", "x"), (5, "d", "fresh", "2024-02-03", "x"), (6, "e", "same title", "2024-01-03", "x")])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.functions import text
+from tidewell.functions import text, urls
 
 #: Weights of the four significance scores, in this order of summation.
 WEIGHTS = {"technological_breakthrough": 0.35, "industry_impact": 0.30, "adoption_scale": 0.20, "novelty": 0.15}
@@ -89,8 +89,44 @@ def analysed(events: DataFrame, ask: Callable[[], Callable[[list[str]], list[str
     return events.mapInPandas(run, schema)
 
 
-def within_budget(rows: DataFrame, key: str, order: str, body: str, budget: int) -> DataFrame:
-    """Rows of each key while the running estimate of tokens (a quarter of the characters, rounded up) stays within ``budget``."""
-    tokens = F.ceil(F.length(F.coalesce(F.col(body), F.lit(""))) / 4)
-    running = F.sum("tokens").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("tokens", tokens).withColumn("running", running).where(F.col("running") <= budget)
+def within_budget(rows: DataFrame, key: str, order: str, body: str, budget: int, block: int = 1 << 16) -> DataFrame:
+    """Rows of each key while the running estimate of tokens (a quarter of the characters, rounded up) stays within ``budget``.
+
+    ``order``: an integer column. The estimates are summed per key and block of ``block`` order values first; only
+    blocks that begin within the budget are then added up row by row, so no key is gathered in one task. A null key is
+    a key of its own, a null order comes first, a null text has no tokens.
+    """
+    counted = rows.withColumn("tokens", F.ceil(F.length(F.coalesce(F.col(body), F.lit(""))) / 4)).withColumn("_block", F.floor(F.col(order) / block))
+    sums = counted.groupBy(F.col(key).alias("_k"), F.col("_block").alias("_b")).agg(F.sum("tokens").alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    begun = sums.withColumn("_before", F.coalesce(earlier, F.lit(0))).where(F.col("_before") <= budget).drop("_sum")
+    inside = F.sum("tokens").over(Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    near = counted.join(begun, F.col(key).eqNullSafe(F.col("_k")) & F.col("_block").eqNullSafe(F.col("_b")))
+    return near.withColumn("running", F.col("_before") + inside).where(F.col("running") <= budget).drop("_k", "_b", "_block", "_before")
+
+
+def first_sentences(body: Column, k: int = 2, size: int = 160) -> Column:
+    """The first ``k`` non-empty sentences, each cut to ``size`` characters (O8); null for a null text."""
+    parts = F.filter(F.transform(F.split(body, "[.!?]"), lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), lambda x: x != "")
+    return F.slice(F.transform(parts, lambda x: F.substring(x, 1, size)), 1, k)
+
+
+def violations(day_text: Column | None = None) -> Column:
+    """What speaks against an analysed event, as an array (F10); ``day_text`` is its date as written.
+
+    A missing value counts like a wrong one, but for ``url``, which may be missing.
+    """
+    scores = F.col("significance")
+    in_range = lambda x: x.between(0, 10) & ~F.isnan(x)
+    rules = {
+        "id": F.col("id").rlike(r"^\d{4}-\d{2}-\d{2}-[a-z0-9-]+$"),
+        "title": F.length("title").between(1, 200),
+        "date": (F.col("event_date") if day_text is None else day_text).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z$"),
+        "description": F.length("description").between(1, 1000),
+        "category": F.col("category").isin("research", "product", "regulation", "industry"),
+        "sources": F.col("sources").isNotNull() & F.forall("sources", lambda u: F.coalesce(urls.is_valid(u), F.lit(False))),
+        "url": F.col("url").isNull() | urls.is_valid(F.col("url")),
+        "impact_score": in_range(F.col("impact_score")),
+        "significance": in_range(scores["technological_breakthrough"]) & in_range(scores["industry_impact"]) & in_range(scores["adoption_scale"]) & in_range(scores["novelty"]),
+    }
+    return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]), lambda x: x.isNotNull())

@@ -1,14 +1,14 @@
 """Fuzzy deduplication of events: candidate pairs, pair score, leaders, merge.
 
-Two events are candidates if they have the same URL, or lie at most ``hours`` apart and share one of the chosen
-words of their titles (the rarest words, by a fixed order, of which two titles that share 70 % of all their words
-must have one in common). Pairs whose titles have almost no word in common, alike only letter by letter, are not
+Events with the same URL belong together whatever else they hold; they form classes and are never paired out. Two
+other events are candidates if they lie at most ``hours`` apart and share one of the chosen words of their titles (the
+rarest words, by a fixed order, of which two titles that share 70 % of all their words must have one in common). Pairs whose titles have almost no word in common, alike only letter by letter, are not
 candidates; comparing every pair of a time window grows with the square of the events and is left out on purpose.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text, urls
@@ -28,28 +28,37 @@ def prepared_events(events: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(prepared: DataFrame, hours: int = 48, share_tenths: int = 7) -> DataFrame:
-    """Distinct (i, j) with i < j: equal URLs, or near in time with a common chosen title word.
-
-    An equal URL links every event to the first one with it only and to its next one, so a URL that millions of
-    events share gives two rows an event. Words are chosen per title by rarity over all titles.
+def rare_words(rows: DataFrame, keys: list[str], words: Column, share_tenths: int) -> DataFrame:
+    """``keys`` and word: of each row's distinct words the rarest ones, as many as two rows that share ``share_tenths``
+    tenths of all their words need to have one in common. Rarity is counted over all rows; ties go by the word.
     """
-    by_url = Window.partitionBy("url").orderBy("event_seq")
-    chains = prepared.where("url is not null").select("event_seq", F.lag("event_seq").over(by_url).alias("before"), F.min("event_seq").over(by_url).alias("first"))
-    linked = chains.where("before is not null").select(F.explode(F.array_distinct(F.array("before", "first"))).alias("i"), F.col("event_seq").alias("j"))
-    words = prepared.select("event_seq", "ts_us", F.explode(F.array_distinct(F.split("nt", " "))).alias("word")).where("word <> ''")
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = words.join(counts, "word").groupBy("event_seq", "ts_us").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
-    chosen = ranked.select("event_seq", "ts_us", F.explode(F.slice("w", F.lit(1), F.size("w") - F.ceil(F.size("w") * share_tenths / 10).cast("int") + 1)).alias("x")).select("event_seq", "ts_us", "x.word")
+    exploded = rows.select(*keys, F.explode(F.array_distinct(words)).alias("word"))
+    counts = exploded.groupBy("word").agg(F.count("*").alias("n"))
+    ranked = exploded.join(counts, "word").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+    need = F.size("w") - F.ceil(F.size("w") * share_tenths / 10).cast("int") + 1
+    return ranked.select(*keys, F.explode(F.slice("w", F.lit(1), need)).alias("x")).select(*keys, "x.word")
+
+
+def url_classes(prepared: DataFrame) -> DataFrame:
+    """event_seq and first: of each event whose URL occurs more than once, the first event with it."""
+    firsts = prepared.where("url is not null").groupBy("url").agg(F.min("event_seq").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return prepared.select("event_seq", "url").join(firsts, "url").select("event_seq", "first")
+
+
+def candidate_pairs(prepared: DataFrame, hours: int = 48, share_tenths: int = 7) -> DataFrame:
+    """Distinct (i, j) with i < j that are near in time with a common chosen title word."""
+    words = F.filter(F.split("nt", " "), lambda w: w != "")
     width = hours * 3_600_000_000
+    chosen = rare_words(prepared, ["event_seq", "ts_us"], words, share_tenths)
     chosen = kept(chosen.withColumn("slot", F.floor(F.col("ts_us") / width)), "title-words")
     right = chosen.select(F.col("event_seq").alias("j"), F.col("ts_us").alias("ts_j"), "word", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
     near = chosen.join(right, ["word", "slot"]).where((F.col("event_seq") < F.col("j")) & (F.abs(F.col("ts_us") - F.col("ts_j")) <= width))
-    return near.select(F.col("event_seq").alias("i"), "j").unionByName(linked).distinct()
+    return near.select(F.col("event_seq").alias("i"), "j").distinct()
 
 
 def duplicate_pairs(events: DataFrame, least: float = 0.6, hours: int = 48) -> DataFrame:
-    """i, j, score of the candidates that score at least ``least``.
+    """i, j, score of the candidates that score at least ``least`` (D1, I7), and of each event with an earlier one's URL
+    and the first event with it; the other pairs of a URL follow from ``url_classes``.
 
     The score is 0.5 title + 0.3 content (if both have any) + 0.1 same domain + 0.1 nearness, and 1 for equal URLs.
     Contents are compared only where the rest of the score leaves a chance.
@@ -57,7 +66,8 @@ def duplicate_pairs(events: DataFrame, least: float = 0.6, hours: int = 48) -> D
     prepared = kept(prepared_events(events), "prepared")
     narrow, width = prepared.drop("nc", "source"), float(hours * 3_600_000)
     c = lambda side, name: F.col(f"{side}.{name}")
-    pairs = candidate_pairs(prepared, hours).join(narrow.alias("a"), F.col("i") == c("a", "event_seq")).join(narrow.alias("b"), F.col("j") == c("b", "event_seq"))
+    by_url = url_classes(prepared).where("event_seq > first").select(F.col("first").alias("i"), F.col("event_seq").alias("j"))
+    pairs = candidate_pairs(prepared, hours).unionByName(by_url).distinct().join(narrow.alias("a"), F.col("i") == c("a", "event_seq")).join(narrow.alias("b"), F.col("j") == c("b", "event_seq"))
     gap = F.abs(F.floor(c("a", "ts_us") / 1000) - F.floor(c("b", "ts_us") / 1000))
     same_url = F.coalesce(c("a", "url") == c("b", "url"), F.lit(False))
     rated = pairs.where(same_url | (gap <= width)).select(
@@ -79,30 +89,45 @@ def same_url_or(condition: Column) -> Column:
     return F.col("same_url") | condition
 
 
-def leaders(pairs: DataFrame) -> DataFrame:
+def leaders(pairs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """member, leader of greedy clustering in event_seq order (D2): an event leads unless an earlier leader is its pair.
 
+    ``classes``: event_seq, first; events of one class all are pairs of each other without being listed in ``pairs``.
     Rounds: an event whose undecided earlier partners are all gone leads, its partners become members; members join
-    their earliest leader at the end. Events without any pair do not appear.
+    their earliest leader at the end. Of a class only the least undecided event counts as a partner, so a class may
+    have any size. Events without any pair do not appear; empty tables give an empty result.
     """
     pairs = kept(pairs.select("i", "j"), "pairs")
-    nodes = pairs.select(F.col("i").alias("v")).unionByName(pairs.select(F.col("j").alias("v"))).distinct()
+    if classes is None:
+        classes = pairs.sparkSession.createDataFrame([], "event_seq bigint, first bigint")
+    classes = kept(classes.select(F.col("event_seq").alias("v"), F.col("first").alias("u")), "classes")
+    nodes = pairs.select(F.col("i").alias("v")).unionByName(pairs.select(F.col("j").alias("v"))).unionByName(classes.select("v")).distinct()
     open_pairs, leading = pairs, None
-    waiting = kept(nodes, "nodes")
+    waiting = kept(nodes.join(classes, "v", "left"), "nodes")
     while True:
         # Those with no undecided earlier partner lead now.
-        fresh = kept(waiting.join(open_pairs.select(F.col("j").alias("v")), "v", "left_anti"), "leaders")
+        least = waiting.where("u is not null").groupBy("u").agg(F.min("v").alias("least"))
+        fresh = waiting.join(open_pairs.select(F.col("j").alias("v")), "v", "left_anti").join(least, "u", "left")
+        fresh = kept(fresh.where("least is null or v = least").select("v", "u"), "leaders")
         leading = fresh if leading is None else leading.unionByName(fresh)
-        members = open_pairs.join(fresh.withColumnRenamed("v", "i"), "i", "left_semi").select(F.col("j").alias("v")).distinct()
-        waiting = kept(waiting.join(fresh, "v", "left_anti").join(members, "v", "left_anti"), "nodes")
+        members = open_pairs.join(fresh.select(F.col("v").alias("i")), "i", "left_semi").select(F.col("j").alias("v"))
+        rest = waiting.join(fresh.select("v").unionByName(members), "v", "left_anti").join(fresh.where("u is not null").select("u"), "u", "left_anti")
+        waiting = kept(rest.select("v", "u"), "nodes")
         if waiting.isEmpty():
             break
-        ends = waiting.withColumnRenamed("v", "i")
-        open_pairs = kept(open_pairs.join(ends, "i", "left_semi").join(waiting.withColumnRenamed("v", "j"), "j", "left_semi"), "pairs")
-    led = pairs.join(leading.withColumnRenamed("v", "i"), "i", "left_semi").join(leading.withColumnRenamed("v", "j"), "j", "left_anti").groupBy(F.col("j").alias("member")).agg(F.min("i").alias("leader"))
+        open_pairs = kept(open_pairs.join(waiting.select(F.col("v").alias("i")), "i", "left_semi").join(waiting.select(F.col("v").alias("j")), "j", "left_semi"), "pairs")
+    by_pair = pairs.join(leading.select(F.col("v").alias("i")), "i", "left_semi").select(F.col("j").alias("member"), F.col("i").alias("leader"))
+    # A class has one leader at most.
+    by_class = classes.join(leading.where("u is not null").select("u", F.col("v").alias("leader")), "u").where("leader < v").select(F.col("v").alias("member"), "leader")
+    led = by_pair.unionByName(by_class).join(leading.select(F.col("v").alias("member")), "member", "left_anti").groupBy("member").agg(F.min("leader").alias("leader"))
     return led.unionByName(leading.select(F.col("v").alias("member"), F.col("v").alias("leader")))
 
 
+def duplicate_groups(events: DataFrame) -> DataFrame:
+    """member, leader of all events that are a duplicate of another or have one (D3)."""
+    return leaders(duplicate_pairs(events), url_classes(prepared_events(events)))
+
+
 def merged_groups(events: DataFrame, groups: DataFrame, priorities: DataFrame) -> DataFrame:
     """One row per leader (A1, A2): primary_seq (highest priority, then earliest), content_seq (longest content, the
     primary's on ties), duplicate_count and n_sources. All are partial aggregates, so a group may have any size.

@@ -37,11 +37,34 @@ def selection_metrics(scores: DataFrame, column: str, threshold: float) -> DataF
 
 
 def sliding_failures(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """Adds how many events of the same key lie within the last ``seconds``, itself included."""
-    span = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("in_window", F.count("*").over(span))
+    """Adds how many events of the same key lie within the last ``seconds``, itself and its peers included.
+
+    Counted per key and slot of ``seconds``: each slot also sees the bare times of the slot before it, so a key that
+    holds a third of all events is spread over its slots. Events without a time are counted among themselves.
+    """
+    width = seconds * 1_000_000
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    home = events.withColumn("_us", us).withColumn("_slot", F.floor(F.col("_us") / width)).withColumn("_home", F.lit(True))
+    before = home.where("_us is not null").select(key, "_us", (F.col("_slot") + 1).alias("_slot"), F.lit(False).alias("_home"))
+    span = Window.partitionBy(key, "_slot").orderBy("_us").rangeBetween(-width, 0)
+    return home.unionByName(before, allowMissingColumns=True).withColumn("in_window", F.count("*").over(span)).where("_home").drop("_us", "_slot", "_home")
 
 
 def last_by_key(rows: DataFrame, key: str, at: str, seq: str, value: str) -> DataFrame:
     """Count and last value per key."""
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.max_by(value, F.struct(at, seq)).alias("last"))
+
+
+def source_metrics(items: DataFrame, key: str, item: str) -> DataFrame:
+    """Per source: items collected, different items, and items without URL (A8, A16). A null source is one of its own."""
+    blank = F.col("url").isNull() | (F.col("url") == "")
+    return items.groupBy(key).agg(F.count("*").alias("collected"), F.count_distinct(item).alias("different"), F.count_if(blank).alias("without_url"))
+
+
+def stage_counts(*totals: DataFrame) -> DataFrame:
+    """One row per stage and its count, from one-row tables of totals."""
+    out = None
+    for rows in totals:
+        rows = rows.unpivot([], rows.columns, "stage", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out

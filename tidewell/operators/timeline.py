@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text, urls
+from tidewell.operators.fuzzy import rare_words
 from tidewell.operators.ingest import first_per_key
+from tidewell.shared import kept
 
 #: Names of the months, as file rows write them.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
@@ -43,15 +45,23 @@ def conflicts(incoming: DataFrame, existing: DataFrame, as_of: str) -> DataFrame
     return out
 
 
-def similar_existing(incoming: DataFrame, existing: DataFrame, least: float = 0.8) -> DataFrame:
-    """entry_seq, similar_seq: the first existing entry of the same day and category whose title overlaps by more than ``least``.
+def similar_existing(incoming: DataFrame, existing: DataFrame, least_tenths: int = 8) -> DataFrame:
+    """entry_seq, similar_seq: the first existing entry of the same day and category whose title overlaps by more than
+    ``least_tenths`` tenths (D7). Null days, categories and titles match nothing.
 
-    Titles that overlap so far share one of the rarest words of each; but a day and category hold few entries, so the
-    equality of both is the join, and only distinct titles of the existing side take part.
+    Only distinct titles of a day and category are compared, and only those that share one of their rarest words,
+    which titles that overlap so far must; a day that holds a third of all entries is not paired out.
     """
-    old = existing.groupBy("day", "category", F.lower("title").alias("old_title")).agg(F.min("entry_seq").alias("old_seq"))
-    pairs = incoming.select("entry_seq", "day", "category", "title").join(old, ["day", "category"])
-    return pairs.where(text.title_overlap(F.lower("title"), F.col("old_title")) > least).groupBy("entry_seq").agg(F.min("old_seq").alias("similar_seq"))
+    key = ["day", "category", "t"]
+    narrow = lambda rows: rows.where("day is not null and category is not null and title is not null").select("entry_seq", "day", "category", F.lower("title").alias("t"))
+    fresh, old = narrow(incoming), narrow(existing).groupBy(*key).agg(F.min("entry_seq").alias("old_seq"))
+    titles = kept(fresh.select(*key, F.lit(True).alias("is_new")).distinct().unionByName(old.select(*key, F.lit(False).alias("is_new"))), "titles")
+    words = kept(rare_words(titles, [*key, "is_new"], F.split("t", r"\s+"), least_tenths), "title-words")
+    olds = words.where("not is_new").select("day", "category", "word", F.col("t").alias("old_t"))
+    met = words.where("is_new").drop("is_new").join(olds, ["day", "category", "word"]).drop("word").distinct()
+    alike = met.where(text.title_overlap(F.col("t"), F.col("old_t")) > least_tenths / 10)
+    first = alike.join(old.withColumnRenamed("t", "old_t"), ["day", "category", "old_t"]).groupBy(*key).agg(F.min("old_seq").alias("similar_seq"))
+    return fresh.join(first, key).groupBy("entry_seq").agg(F.min("similar_seq").alias("similar_seq"))
 
 
 def file_rows(entries: DataFrame) -> DataFrame:

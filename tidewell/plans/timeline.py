@@ -182,20 +182,21 @@ words as (select event_seq, ts, unnest(list_distinct(string_split(nt, ' '))) as
 counts as (select word, count(*) as n from words where word <> '' group by word),
 ranked as (select event_seq, ts, words.word, row_number() over (partition by event_seq order by n, words.word) as r, count(*) over (partition by event_seq) as c from words join counts on words.word = counts.word),
 chosen as (select event_seq, ts, word from ranked where r <= c - cast(ceil(c * 7 / 10.0) as int) + 1),
-chains as (select event_seq, lag(event_seq) over (partition by url order by event_seq) as before, min(event_seq) over (partition by url order by event_seq) as first from prepared where url is not null),
+firsts as (select event_seq, min(event_seq) over (partition by url) as first from prepared where url is not null),
 candidates as (select distinct i, j from (select a.event_seq as i, b.event_seq as j from chosen a join chosen b on a.word = b.word where a.event_seq < b.event_seq and abs(a.ts - b.ts) <= 172800000000
-union all select before, event_seq from chains where before is not null union all select first, event_seq from chains where before is not null)),
+union all select first, event_seq from firsts where first < event_seq)),
 scored as (select i, j, case when a.url = b.url then 1.0::double when abs(a.ts // 1000 - b.ts // 1000) <= 172800000 then
 ({_similarity_sql('a.nt', 'b.nt')}) * 0.5::double + (case when a.has and b.has then ({_similarity_sql('a.nc', 'b.nc')}) * 0.3::double else 0.0::double end) + (case when a.domain = b.domain then 0.1::double else 0.0::double end)
 + (1::double - abs(a.ts // 1000 - b.ts // 1000)::double / 172800000.0::double) * 0.1::double else 0.0::double end as score
 from candidates join prepared a on a.event_seq = i join prepared b on b.event_seq = j),
 pairs as (select i, j, score from scored where score >= 0.6)"""
 _LED = f"""with recursive {_PREPARED},
-nodes as (select v, row_number() over (order by v) as k, early from (select v, list(u) filter (u is not null) as early from (select j as v, i as u from pairs union all select i, null from pairs) group by v)),
+links as (select i, j from pairs union select a.event_seq, b.event_seq from prepared a join prepared b on a.url = b.url where a.event_seq < b.event_seq),
+nodes as (select v, row_number() over (order by v) as k, early from (select v, list(u) filter (u is not null) as early from (select j as v, i as u from links union all select i, null from links) group by v)),
 walk as (select 0::bigint as k, []::bigint[] as lead union all
 select nodes.k, case when len(list_intersect(coalesce(nodes.early, []), walk.lead)) = 0 then list_append(walk.lead, nodes.v) else walk.lead end from walk join nodes on nodes.k = walk.k + 1),
 leads as (select unnest(lead) as v from (select lead from walk order by k desc limit 1)),
-led as (select v as member, v as leader from leads union all select j, min(i) from pairs where i in (select v from leads) and j not in (select v from leads) group by j)"""
+led as (select v as member, v as leader from leads union all select j, min(i) from links where i in (select v from leads) and j not in (select v from leads) group by j)"""
 
 
 @query(f"with {_PREPARED} select i, j, round(score, 6) as score from pairs")
@@ -205,7 +206,7 @@ def dedup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_LED} select member, leader from led")
 def dedup_leaders(spark: SparkSession, d: str) -> DataFrame:
-    return fuzzy.leaders(fuzzy.duplicate_pairs(table(spark, d, "raw_events"))).select("member", "leader")
+    return fuzzy.duplicate_groups(table(spark, d, "raw_events")).select("member", "leader")
 
 
 _PRIORITIES = "(select source, max(priority) as priority from (select source_name as source, coalesce(priority, 0) as priority from sources union all select source_id, coalesce(priority, 0) from sources) group by source)"
@@ -221,16 +222,16 @@ best as (select leader, arg_max(event_seq, priority * 1000000000000 - event_seq)
 select leader, primary_seq, case when pc = mc then primary_seq else longest end as content_seq, duplicate_count, n_sources from best""")
 def dedup_merged(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "raw_events")
-    return fuzzy.merged_groups(events, fuzzy.leaders(fuzzy.duplicate_pairs(events)), _priorities(spark, d))
+    return fuzzy.merged_groups(events, fuzzy.duplicate_groups(events), _priorities(spark, d))
 
 
 @query(f"{_LED} select (select count(*) from prepared) as original, (select count(*) from led where member <> leader) as removed, round((select count(*) from led where member <> leader)::double / (select count(*) from prepared), 9) as rate")
 def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "raw_events")
-    groups = fuzzy.leaders(fuzzy.duplicate_pairs(events))
-    total = events.where("event_seq is not null and event_date is not null").agg(F.count_distinct("event_seq").alias("original"))
-    gone = groups.agg(F.count_if(F.col("member") != F.col("leader")).alias("removed"))
-    return total.join(F.broadcast(gone)).select("original", "removed", F.round(F.coalesce(F.try_divide("removed", "original"), F.lit(0.0)), 9).alias("rate"))
+    groups = fuzzy.duplicate_groups(events)
+    total = events.where("event_seq is not null and event_date is not null").agg(F.count_distinct("event_seq").alias("original"), F.lit(0).cast("bigint").alias("removed"))
+    gone = groups.agg(F.lit(0).cast("bigint").alias("original"), F.count_if(F.col("member") != F.col("leader")).alias("removed"))
+    return total.unionByName(gone).agg(F.sum("original").alias("original"), F.sum("removed").alias("removed")).select("original", "removed", F.round(F.coalesce(F.try_divide("removed", "original"), F.lit(0.0)), 9).alias("rate"))
 
 
 @query(f"select item_seq, {_DOMAIN} as domain from raw_items")
@@ -421,3 +422,36 @@ def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
 def stream_first_deliveries(spark: SparkSession, d: str) -> DataFrame:
     rows = windows.parquet_stream(spark, d, "raw_events").where("ingested_at is not null").withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
     return windows.run_once(windows.first_deliveries(rows, "ingested_at", ["event_seq"], "3650 days").select("event_seq", "title"), "append")
+
+
+_SCORES = " and ".join(f"(significance.{name} between 0 and 10 and not isnan(significance.{name}))" for name in analysis.WEIGHTS)
+_URL = "'^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\s]+'"
+
+
+@query(f"""select violation, count(*) as n from (select unnest([case when not coalesce(regexp_matches(id, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}-[a-z0-9-]+$'), false) then 'id' end,
+case when not coalesce(length(title) between 1 and 200, false) then 'title' end, case when not coalesce(regexp_matches(event_date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]+)?Z$'), false) then 'date' end,
+case when not coalesce(length(description) between 1 and 1000, false) then 'description' end, case when not coalesce(category in ('research', 'product', 'regulation', 'industry'), false) then 'category' end,
+case when sources is null or len(list_filter(sources, lambda u: not coalesce(regexp_matches(u, {_URL}), false))) > 0 then 'sources' end, case when not coalesce(url is null or regexp_matches(url, {_URL}), false) then 'url' end,
+case when not coalesce(impact_score between 0 and 10 and not isnan(impact_score), false) then 'impact_score' end, case when not coalesce({_SCORES}, false) then 'significance' end]) as violation from {_ANALYSED}) where violation is not null group by violation""")
+def validate_analyzed(spark: SparkSession, d: str) -> DataFrame:
+    return _analysed(spark, d).select(F.explode(analysis.violations()).alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+@query("""select doc_id, list_aggregate(list_transform(list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: x <> '')[1:2], lambda x: substring(x, 1, 160)), 'string_agg', '|') as sentences
+from documents where text is not null""")
+def first_sentences(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", analysis.first_sentences(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.when(F.size("s") > 0, F.array_join("s", "|")).alias("sentences"))
+
+
+@query("select source, count(*) as collected, count(distinct id) as different, count(*) filter (url is null or url = '') as without_url from raw_items group by source")
+def source_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return stats.source_metrics(table(spark, d, "raw_items"), "source", "id")
+
+
+@query(f"""select 'collected' as stage, count(*) as n from raw_items union all select 'different', count(distinct id) from raw_items
+union all select 'analysed', count(*) from {_ANALYSED} union all select 'selected', count(*) filter (computed >= 6 and not isnan(computed)) from {_ANALYSED}""")
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    items, scores = table(spark, d, "raw_items"), _analysed(spark, d)
+    chosen = F.count_if((F.col("computed") >= 6) & ~F.isnan("computed"))
+    return stats.stage_counts(items.agg(F.count("*").alias("collected"), F.count_distinct("id").alias("different")), scores.agg(F.count("*").alias("analysed"), chosen.alias("selected")))
