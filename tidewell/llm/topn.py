@@ -6,8 +6,9 @@ first block of every group, then the next ones); a block whose highest score is
 N-th score is skipped without being read. The layout is a table in the shared folder, so that other readers with
 other N can use the same blocks.
 
-Nothing is gathered per group: duplicates are removed where a group's score bin lies, and ranking keeps N rows per
-group in each task before any exchange. A group that holds a third of all rows is spread over its score bins.
+Nothing is gathered per group: duplicates are removed where a slice of a group's score bin lies, and ranking keeps N
+rows per group in each task before any exchange. A group that holds a third of all rows is spread over its score bins,
+and each bin over slices by event, so even equal scores all over such a group stay no single task's work.
 """
 
 from __future__ import annotations
@@ -32,16 +33,18 @@ def scored_events(events: DataFrame) -> DataFrame:
     return rows.where("utc_us is not null").withColumn("event_day", day)
 
 
-def clustered_layout(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def clustered_layout(rows: DataFrame, block_rows: int, slices: int = 64) -> tuple[DataFrame, DataFrame]:
     """The rows, distinct, in blocks, and the statistics of all blocks but each group's first.
 
     Block 0 of a group holds its highest score bins until ``block_rows`` rows are reached, block 1 the next twice as
-    many, and so on. Equal scores share a bin, so no tie is ever cut.
+    many, and so on. Equal scores share a bin, so no tie is ever cut. ``slices``: over how many partitions a bin may
+    spread.
     """
     group = ["source_id", "event_day"]
     binned = rows.withColumn("bin", F.floor(F.col("score") * 10).cast("int"))
-    # One exchange serves the removal of duplicates, the histogram and the layout.
-    binned = binned.repartition(*group, "bin").groupBy(*group, "bin", "event_id", "utc_us", "score").agg(F.lit(1).alias("one")).drop("one")
+    # One exchange serves the removal of duplicates and the layout; the histogram sends counts only.
+    binned = binned.withColumn("slice", F.pmod(F.xxhash64("event_id"), F.lit(slices)).cast("int"))
+    binned = binned.repartition(*group, "bin", "slice").groupBy(*group, "bin", "slice", "event_id", "utc_us", "score").agg(F.lit(1).alias("one")).drop("one", "slice")
     bins = binned.groupBy(*group, "bin").agg(F.count("*").alias("n"), F.max("score").alias("top"))
     above = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     deep = bins.withColumn("block", F.floor(F.log2(above / block_rows + 1)).cast("int")).where("block > 0")
