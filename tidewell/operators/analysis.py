@@ -1,4 +1,4 @@
-"""Scoring and selecting events with plain expressions."""
+"""Scoring and selecting events with plain expressions."""
 
 from __future__ import annotations
 
