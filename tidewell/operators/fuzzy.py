@@ -1,18 +1,19 @@
 """Fuzzy deduplication of events: candidate pairs, pair score, leaders, merge.
 
-Events with the same URL belong together whatever else they hold; they form classes and are never paired out. Two
-other events are candidates if they lie at most ``hours`` apart and share one of the chosen words of their titles (the
-rarest words, by a fixed order, of which two titles that share 70 % of all their words must have one in common). Pairs whose titles have almost no word in common, alike only letter by letter, are not
-candidates; comparing every pair of a time window grows with the square of the events and is left out on purpose.
+Events with the same URL belong together whatever else they hold; they form classes and are never paired out. Of all
+other pairs at most ``hours`` apart none is left out: ``near`` bounds the score of each from above, and those that may
+reach the least score are scored in full.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text, urls
-from tidewell.shared import kept
+from tidewell.operators import near
+from tidewell.shared import buckets, kept
 
 
 def prepared_events(events: DataFrame) -> DataFrame:
@@ -45,15 +46,31 @@ def url_classes(prepared: DataFrame) -> DataFrame:
     return prepared.select("event_seq", "url").join(firsts, "url").select("event_seq", "first")
 
 
-def candidate_pairs(prepared: DataFrame, hours: int = 48, share_tenths: int = 7) -> DataFrame:
-    """Distinct (i, j) with i < j that are near in time with a common chosen title word."""
-    words = F.filter(F.split("nt", " "), lambda w: w != "")
-    width = hours * 3_600_000_000
-    chosen = rare_words(prepared, ["event_seq", "ts_us"], words, share_tenths)
-    chosen = kept(chosen.withColumn("slot", F.floor(F.col("ts_us") / width)), "title-words")
-    right = chosen.select(F.col("event_seq").alias("j"), F.col("ts_us").alias("ts_j"), "word", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    near = chosen.join(right, ["word", "slot"]).where((F.col("event_seq") < F.col("j")) & (F.abs(F.col("ts_us") - F.col("ts_j")) <= width))
-    return near.select(F.col("event_seq").alias("i"), "j").distinct()
+def candidate_pairs(prepared: DataFrame, hours: int = 48, least: float = 0.6, block: int = 2000) -> DataFrame:
+    """(i, j) with i < j of all pairs at most ``hours`` apart, without those that cannot score ``least``.
+
+    The pairs of a time slot, and of a slot with the next, are shared out in squares of about ``block`` by ``block``
+    events, so a task holds that many however dense the events lie. The work grows with the pairs.
+    """
+    spark, width = prepared.sparkSession, hours * 3_600_000
+    rows = prepared.select("event_seq", F.floor(F.col("ts_us") / 1000).alias("ms"), F.when(F.col("url").isNotNull(), F.xxhash64("url")).alias("url"), "domain", "nt", "nc", "has_content").withColumn("slot", F.floor(F.col("ms") / width))
+    top, squares = rows.groupBy("slot").count().agg(F.max("count"), F.sum(F.col("count") * F.col("count"))).first()
+    parts = -(-(top or 1) // block)
+    tasks = min(max(buckets(spark), 2 * (squares or 0) // 200_000), 1000)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("event_seq"), F.lit(parts)).cast("int"))
+    first, last, part = F.lit(0), F.lit(parts - 1), F.col("part")
+    place = lambda step, a, b: F.struct((F.col("slot") - step).alias("at"), F.lit(step).alias("step"), a.alias("a"), b.alias("b"))
+    # Within a slot the square (a, b) stands for (b, a) too.
+    lefts = F.concat(F.transform(F.sequence(part, last), lambda b: place(0, part, b)), F.transform(F.sequence(first, last), lambda b: F.struct(F.col("slot").alias("at"), F.lit(1).alias("step"), part.alias("a"), b.alias("b"))))
+    rights = F.concat(F.transform(F.sequence(first, part), lambda a: place(0, a, part)), F.transform(F.sequence(first, last), lambda a: place(1, a, part)))
+    keys = ["at", "step", "a", "b"]
+    sides = [rows.withColumn("place", F.explode(x)).select("place.*", "event_seq", "ms", "url", "domain", "nt", "nc", "has_content").repartition(tasks, *keys).groupBy(*keys) for x in (lefts, rights)]
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j = near.possible_pairs(left, right, width, least)
+        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64())})
+
+    return sides[0].cogroup(sides[1]).applyInArrow(search, "i bigint, j bigint")
 
 
 def duplicate_pairs(events: DataFrame, least: float = 0.6, hours: int = 48) -> DataFrame:
@@ -67,7 +84,7 @@ def duplicate_pairs(events: DataFrame, least: float = 0.6, hours: int = 48) -> D
     narrow, width = prepared.drop("nc", "source"), float(hours * 3_600_000)
     c = lambda side, name: F.col(f"{side}.{name}")
     by_url = url_classes(prepared).where("event_seq > first").select(F.col("first").alias("i"), F.col("event_seq").alias("j"))
-    pairs = candidate_pairs(prepared, hours).unionByName(by_url).distinct().join(narrow.alias("a"), F.col("i") == c("a", "event_seq")).join(narrow.alias("b"), F.col("j") == c("b", "event_seq"))
+    pairs = candidate_pairs(prepared, hours, least).unionByName(by_url).distinct().join(narrow.alias("a"), F.col("i") == c("a", "event_seq")).join(narrow.alias("b"), F.col("j") == c("b", "event_seq"))
     gap = F.abs(F.floor(c("a", "ts_us") / 1000) - F.floor(c("b", "ts_us") / 1000))
     same_url = F.coalesce(c("a", "url") == c("b", "url"), F.lit(False))
     rated = pairs.where(same_url | (gap <= width)).select(
