@@ -69,6 +69,35 @@ def test_one_edit_is_found_and_two_are_not(spark):
     assert got == {1: 1, 2: 1, 4: 1}
 
 
+def test_an_edit_anywhere_in_twelve_words_is_found():
+    item = leaks.normalised("the quick brown fox jumps over seven lazy dogs while birds sing")
+    index = leaks.PassageIndex([(7, item)], 12, 1)
+    assert len(item.split()) == 12 and index.found(item) == {7: 0}
+    for n in range(len(item)):
+        for new in ("", "x", " ", "x" + item[n], " " + item[n]):
+            text = leaks.normalised("yes" + item[:n] + new + item[n + 1 :] + "yes")
+            assert index.found(text) == {7: 0 if item in text else 1}, text
+
+
+def test_distances_equal_the_table():
+    """Against the least distance of any passage, with its blanks, to any part of the text."""
+    rng = random.Random(4)
+    for _ in range(600):
+        words, errors = rng.randint(1, 4), rng.randint(0, 3)
+        item = [rng.choice(["ab", "b", "abc", "ca"]) for _ in range(rng.randint(words, 5))]
+        text = leaks.normalised(" ".join(rng.choice(["ab", "b", "abc", "ca", "cab"]) for _ in range(rng.randint(0, 6))))
+        best = 99
+        for at in range(len(item) - words + 1):
+            passage = f" {' '.join(item[at : at + words])} "
+            row = [0] * (len(text) + 1)
+            for i, c in enumerate(passage, 1):
+                row, last = [i], row
+                for j, e in enumerate(text, 1):
+                    row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (c != e)))
+            best = min(best, *row)
+        assert leaks.PassageIndex([(1, leaks.normalised(" ".join(item)))], words, errors).found(text) == ({1: best} if best <= errors else {})
+
+
 def test_empty_tables(spark):
     assert _found(spark, [], [(1, "a b c")]) == []
     assert _found(spark, [(1, "a b c")], [(1, None), (None, "a")]) == []

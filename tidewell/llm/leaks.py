@@ -1,7 +1,8 @@
 """Evaluation texts that leak into training text (problem 8), by pigeonhole edit matching.
 
-Each passage of ``words`` consecutive words of a test item is split into ``errors + 1`` pieces. If a document
-holds the passage with at most ``errors`` edited characters, at least one piece is untouched. One automaton over
+Each passage of ``words`` consecutive words of a test item, with the blanks around it, is split into ``errors + 1``
+pieces without overlap. If a document holds the passage with at most ``errors`` edited characters, at least one piece
+is untouched. One automaton over
 all pieces of the test items runs over each normalised document; around each piece that it hits, the rest of the
 passage is compared by Myers' bit-parallel edit distance. Exact matches are those of distance 0.
 """
@@ -71,29 +72,32 @@ class PassageIndex:
         for item, text in items:
             tokens = text.split()
             for at in range(len(tokens) - words + 1):
-                for a, b in zip(edges, edges[1:], strict=False):
-                    piece = f" {' '.join(tokens[at + a : at + b])} "
-                    around = (" ".join(tokens[at : at + a]), " ".join(tokens[at + b : at + words]))
-                    self.pieces.setdefault(piece, {}).setdefault(around, set()).add(item)
+                passage = f" {' '.join(tokens[at : at + words])} "
+                # A blank between two pieces belongs to the first one only.
+                starts = [0, *(len(" ".join(tokens[at : at + n])) + 2 for n in edges[1:-1]), len(passage)]
+                if words <= errors:
+                    starts = [len(passage) * k // (errors + 1) for k in range(errors + 2)]
+                for a, b in zip(starts, starts[1:], strict=False):
+                    self.pieces.setdefault(passage[a:b], {}).setdefault((passage[:a], passage[b:]), set()).add(item)
         self.automaton = ahocorasick.Automaton()
         for piece in self.pieces:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
 
     def _distance(self, left: str, right: str, before: str, after: str) -> int:
-        """Edits around an untouched piece; texts before and after it, without the piece's own blanks."""
+        """Edits around an untouched piece, of the parts of the passage before and after it; blanks count as characters."""
         most = self.errors
         total = 0
         for want, text, at_end in ((left, before, True), (right, after, False)):
             if want:
-                exact = text.endswith(" " + want) if at_end else text.startswith(want + " ")
+                exact = text.endswith(want) if at_end else text.startswith(want)
                 if not exact:
                     # The pigeonhole once more: with the edits left, some part of `want` is untouched in the text.
                     left_over = most - total
                     cuts = [len(want) * k // (left_over + 1) for k in range(left_over + 2)]
                     if not left_over or not any(want[a:b] in text for a, b in zip(cuts, cuts[1:], strict=False)):
                         return most + 1
-                    total += max(1, myers_distance(want, text.rstrip() if at_end else text, most - total, at_end))
+                    total += myers_distance(want, text, most - total, at_end)
                     if total > most:
                         return most + 1
         return total
@@ -108,9 +112,8 @@ class PassageIndex:
             for (left, right), items in self.pieces[piece].items():
                 if all(out.get(i) == 0 for i in items):
                     continue
-                reach = max(len(left), len(right)) + self.errors + 2
+                reach = max(len(left), len(right)) + self.errors
                 before, after = text[max(0, first - reach) : first], text[after_at : after_at + reach]
-                # before ends where the piece's leading blank is; exact comparison needs the blank before `left`.
                 distance = self._distance(left, right, before, after)
                 if distance <= self.errors:
                     for i in items:
