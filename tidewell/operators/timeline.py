@@ -1,4 +1,4 @@
-"""The timeline: what is new against it, conflicts, file rows, week partitions."""
+"""The timeline: what is new against it, conflicts, file rows, week partitions."""
 
 from __future__ import annotations
 
