@@ -178,13 +178,9 @@ def title_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 _DOMAIN = "regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^(.*?)www\\.', '\\1')"
 _PREPARED = f"""prepared as (select event_seq, source, url, epoch_us(event_date) as ts, {_DOMAIN} as domain, {_PLAIN.format('title')} as nt, {_PLAIN.format('substring(content, 1, 500)')} as nc, length(coalesce(content, '')) > 0 as has from {_EVENTS} where event_date is not null),
-words as (select event_seq, ts, unnest(list_distinct(string_split(nt, ' '))) as word from prepared),
-counts as (select word, count(*) as n from words where word <> '' group by word),
-ranked as (select event_seq, ts, words.word, row_number() over (partition by event_seq order by n, words.word) as r, count(*) over (partition by event_seq) as c from words join counts on words.word = counts.word),
-chosen as (select event_seq, ts, word from ranked where r <= c - cast(ceil(c * 7 / 10.0) as int) + 1),
 firsts as (select event_seq, min(event_seq) over (partition by url) as first from prepared where url is not null),
-candidates as (select distinct i, j from (select a.event_seq as i, b.event_seq as j from chosen a join chosen b on a.word = b.word where a.event_seq < b.event_seq and abs(a.ts - b.ts) <= 172800000000
-union all select first, event_seq from firsts where first < event_seq)),
+candidates as (select a.event_seq as i, b.event_seq as j from prepared a join prepared b on b.ts between a.ts - 172800000999 and a.ts + 172800000999 where a.event_seq < b.event_seq
+union select first, event_seq from firsts where first < event_seq),
 scored as (select i, j, case when a.url = b.url then 1.0::double when abs(a.ts // 1000 - b.ts // 1000) <= 172800000 then
 ({_similarity_sql('a.nt', 'b.nt')}) * 0.5::double + (case when a.has and b.has then ({_similarity_sql('a.nc', 'b.nc')}) * 0.3::double else 0.0::double end) + (case when a.domain = b.domain then 0.1::double else 0.0::double end)
 + (1::double - abs(a.ts // 1000 - b.ts // 1000)::double / 172800000.0::double) * 0.1::double else 0.0::double end as score

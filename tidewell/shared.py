@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,15 +31,15 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a temporary folder of this machine takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder of this machine takes its
+    place, but only if all tasks run in this one process (tests, a laptop); on a cluster it raises.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        held = spark.sparkContext.getCheckpointDir()
-        folder = held or tempfile.mkdtemp(prefix="tidewell-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidewell-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -64,11 +65,58 @@ def kept(df: DataFrame, kind: str) -> DataFrame:
     """``df`` written as parquet below the shared folder and read again.
 
     Cheaper than a checkpoint where only a few columns are read later, because the copy is
-    columnar and compressed; it too survives the loss of executors.
+    columnar and compressed; it too survives the loss of executors. ``dropped`` deletes it.
     """
     path = scratch_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes kept tables that no later step and no result reads."""
+    for df in tables:
+        if df is not None and hasattr(df, "kept_at"):
+            remove(df.sparkSession, df.kept_at)
+
+
+def _file(spark: SparkSession, path: str):
+    """The Hadoop path and its file system: the shared folder need not be a local one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, files = _file(spark, path)
+    files.delete(at, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted; none if it is not there."""
+    at, files = _file(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole or not at all; raises if it is there already."""
+    draft, files = _file(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    stream = files.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    target, _ = _file(spark, path)
+    if files.exists(target) or not files.rename(draft, target):
+        files.delete(draft, False)
+        raise FileExistsError(path)
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    at, files = _file(spark, path)
+    stream = files.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
 
 
 def buckets(spark: SparkSession) -> int:
