@@ -2,6 +2,8 @@ import random
 import re
 from datetime import date, timedelta
 
+import pytest
+
 from tidewell.llm import history
 
 SCHEMA = "entry_seq bigint, batch_no int, id string, title string, event_date string, wc string"
@@ -42,19 +44,37 @@ def some_rows(seed, n=160):
     return rows
 
 
-def test_equals_a_sequential_scan_at_any_step_size(spark):
+def test_equals_a_sequential_scan(spark):
     rows = some_rows(3)
     want = sorted(brute(rows))
     assert len(want) > 20
-    assert run(spark, rows, step_rows=60) == want
-    assert run(spark, rows, step_rows=10_000) == want
+    assert run(spark, rows) == want
+
+
+def test_titles_that_share_enough_have_a_fingerprint_in_common():
+    rng = random.Random(5)
+    frequent = {k: 100 - k for k in range(6)}
+    alike = 0
+    for _ in range(4000):
+        a = set(rng.sample(range(30), rng.randint(1, 12)))
+        b = (a - set(rng.sample(sorted(a), rng.randint(0, len(a) - 1)))) | set(rng.sample(range(30), rng.randint(0, 4)))
+        if 10 * len(a & b) >= 6 * len(a | b):
+            alike += 1
+            pa, pb = (history.winnowed(sorted(x), frequent, 6) for x in (a, b))
+            order = lambda x: (frequent.get(x, 0), x)
+            first = min(a & b, key=order)
+            assert first in pa and first in pb
+            # The bound by the place of the first common word holds too.
+            left = min(len(x) - sorted(x, key=order).index(first) for x in (a, b))
+            assert left * 16 >= 6 * (len(a) + len(b))
+    assert alike > 500
 
 
 def test_chain_of_look_alikes_and_hot_copies(spark):
     day = "2025-11-01T00:00:00.000Z"
     chain = [(n, 0, f"c{n}", f"a{n} a{n + 1} a{n + 2} a{n + 3}", day) for n in range(5)]  # neighbours share 3 of 5 words
     copies = [(100 + n, n // 20, f"h{n % 7}", "one hot title", day) for n in range(200)] + [(200 + n, 2, "same", None, None) for n in range(5)]
-    assert run(spark, chain + copies, step_rows=60) == sorted(brute(chain + copies))
+    assert run(spark, chain + copies) == sorted(brute(chain + copies))
 
 
 def test_repeated_rows_and_empty_table(spark):
@@ -63,11 +83,38 @@ def test_repeated_rows_and_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_store_goes_on_from_batch_to_batch(spark, tmp_path):
-    rows = some_rows(9, 80)
-    store = history.HistoryStore(spark, str(tmp_path / "store"))
-    got = set()
-    for k in range(2):
-        df = spark.createDataFrame([(*r, "x") for r in rows[k * 40 : k * 40 + 40]], SCHEMA)
-        got |= {tuple(r) for r in store.add(df).collect()}
+def _frame(spark, rows):
+    return spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+
+
+def test_a_reopened_store_goes_on_with_other_settings(spark, tmp_path):
+    rows = some_rows(9, 120)
+    got, before = set(), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k in range(3):
+            spark.conf.set("spark.sql.shuffle.partitions", str(2 + 3 * k))
+            store = history.HistoryStore(spark, str(tmp_path / "store"))
+            assert store.steps == k
+            got |= {tuple(r) for r in store.add(_frame(spark, rows[k * 40 : k * 40 + 40])).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == brute(rows)
+    # What is stored already is repeated as a whole, by the entries accepted before.
+    again = [(1000 + r[0], *r[1:]) for r in rows if r[2] is not None]
+    store = history.HistoryStore(spark, str(tmp_path / "store"))
+    accepted = {r[0] for r in rows} - {d for _, d in got}
+    found = {tuple(r) for r in store.add(_frame(spark, again)).collect()}
+    assert {d for _, d in found} == {r[0] for r in again} and {k for k, _ in found} <= accepted
+    with pytest.raises(ValueError, match="written with"):
+        history.HistoryStore(spark, str(tmp_path / "store"), days=5)
+
+
+def test_history_of_other_weeks_is_not_read(spark, tmp_path):
+    old = [(n, 0, None, f"a{n} b{n} c{n}", f"20{10 + n % 10}-01-01T00:00:00.000Z") for n in range(600)]
+    store = history.HistoryStore(spark, str(tmp_path / "store"))
+    store.add(_frame(spark, old))
+    new = [(1000, 1, None, "a3 b3 c3", "2024-06-01T00:00:00.000Z"), (1001, 1, None, "a5 b5 c5", "2015-01-02T00:00:00.000Z")]
+    assert {tuple(r) for r in store.add(_frame(spark, new)).collect()} == {(5, 1001)}
+    assert 0 < store.looked_at[1] <= 600 * 2 / 10 + 10
+    assert store.add(_frame(spark, [(2000, 2, None, "q r s", "2030-01-01T00:00:00.000Z")])).count() == 0
+    assert store.looked_at[2] <= 10

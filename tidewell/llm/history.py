@@ -1,31 +1,56 @@
 """Deduplicating new batches against all history (problem 2).
 
-A store holds what was accepted so far: the entries, their fingerprints, and Bloom filters over these, one per
-hash partition and step. A new batch is reduced to fingerprints, the filters prescreen them, the positives are
-looked up in the fingerprint table, and the entries met there are verified (id, or dates and shared words). What
-remains is settled within the batch, and the accepted entries extend the store and its filters. History is never
-compared again; a step reads only what its fingerprints point at.
-
-Fingerprints are winnowed from the *set* of a title's words: in one fixed order (rare before frequent words, then by
-hash) the first n - ceil(s * n) + 1 of n words are chosen, so two titles that share at least the share s of all
-their words have a chosen word in common, whatever the words' order in the title. Each is hashed together with a
-bucket of days, and probed with the neighbouring buckets. An id is one more fingerprint.
+A store holds what was accepted so far: one print per winnowed fingerprint, and Bloom filters over these, one per
+partition. A new batch is reduced to fingerprints, the filters prescreen them, the positives are looked up in the
+partitions of the store that may hold them, and the entries met there are verified (id, or dates and shared words).
+What remains is settled within the batch, and the accepted entries extend the store and its filters.
+
+Winnowing: the *set* of a title's words is put in one fixed order (rare before frequent words, then by hash), and the
+first n - ceil(s * n) + 1 of its n words are its fingerprints. Two titles that share at least the share s of all their
+words have a fingerprint in common: each lacks at most n - ceil(s * n) of its words in the other, so of the words that
+come first in either title the earliest common one lies within both selections. This is the guarantee of winnowing by
+window minima, for sets instead of sequences (word order may differ between titles, so windows along the text would not
+do). The place of a fingerprint bounds how many words can still be shared, which rules most meetings out unread.
+Each fingerprint is hashed together with a bucket of days and probed with the neighbouring buckets. An id is one more.
+
+The store is persistent. A state file, written last and whole, names the levels that count, the order of words and the
+parameters; a new object on the same path goes on from there, whatever the session's settings. Levels merge like those
+of a log-structured tree: a step's prints take in the smaller levels before it, so each print is rewritten a logarithmic
+number of times and a step meets few levels. Prints lie in one folder per level, era (32 days; ids have their own) and
+hash; only the folders of the positives are read (by the days of the batch, and by dynamic partition pruning), so
+history of other weeks costs nothing.
+
+What needs no store (words, days, classes of equal titles, which entries of one batch are alike) is staged first, for
+one batch or many. A step then writes three tables: what the store knows, the rounds that settle the rest, and a level.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import instants
-from tidewell.shared import buckets, kept, scratch_path
+from tidewell.shared import dropped, kept, names, read_small, remove, scratch_path, write_small
 
 _LONGS = T.ArrayType(T.LongType())
+_ENTRY = "entry_seq bigint, idh bigint, wc bigint, open boolean"
+_CLASS = "wc bigint, day int, words array<bigint>, picked array<bigint>"
+_EDGE = "key bigint, nb bigint"
+_PRINT = "era int, fp bigint, entry_seq bigint, day int, pos int, words array<bigint>, step string, kind string, dir bigint"
+_FILTER = "part bigint, n bigint, bits binary, step string, kind string, dir bigint"
+_REPEAT = "kept_seq bigint, dup_seq bigint"
+#: The era of ids, apart from those of days; day buckets of an era; prints that a partition should hold; partitions of an era.
+_ID_ERA, _ERA_BUCKETS, _PART_PRINTS, _MOST_PARTS = -(1 << 20), 8, 1 << 16, 1 << 14
+#: Entries of a batch for each task of a step. A batch of no more needs no exchange of its own rows, and its probes
+#: (some 20 MB at most) are broadcast to the store; larger ones are shuffled.
+_TASK_ROWS = 50_000
 
 
 def title_words(title: Column) -> Column:
@@ -34,211 +59,297 @@ def title_words(title: Column) -> Column:
     return F.when(F.size(words) > 0, F.array_sort(F.transform(words, lambda w: F.xxhash64(w))))
 
 
+def winnowed(words: list[int], frequent: dict[int, int], share: int) -> list[int]:
+    """The fingerprints of a set of words: the first ones in the fixed order, as many as ``share`` tenths ask for."""
+    return sorted(words, key=lambda x: (frequent.get(x, 0), x))[: len(words) - (share * len(words) + 9) // 10 + 1]
+
+
 class HistoryStore:
     """The accepted entries and their fingerprints below ``path`` (in a folder that all executors share).
 
-    ``share``: least part of the words of both titles that must be common (in tenths). ``days``: most days apart.
+    ``share_tenths``: least part of the words of both titles that must be common. ``days``: most days apart. A path
+    that holds a store already must have been written with the same two.
     """
 
     def __init__(self, spark: SparkSession, path: str, share_tenths: int = 6, days: int = 3):
-        self.spark, self.path, self.share, self.days = spark, path, share_tenths, days
-        self.parts = buckets(spark)
-        self.steps = 0
-        self.frequent: dict[int, int] | None = None
+        self.spark, self.path, self.share, self.days = spark, path.rstrip("/"), share_tenths, days
+        self.steps, self.levels, self.order = 0, [], None
+        #: Stored prints in the folders that each step of this object looked into.
+        self.looked_at: list[int] = []
+        states = [n for n in names(spark, self.path) if n.startswith("state-") and n.endswith(".json")]
+        if states:
+            held = json.loads(read_small(spark, f"{self.path}/{states[-1]}"))
+            if (held["share"], held["days"]) != (share_tenths, days):
+                raise ValueError(f"{path} was written with share {held['share']} and days {held['days']}")
+            self.steps, self.levels = held["steps"], held["levels"]
+            self.order = {int(k): n for k, n in json.loads(read_small(spark, f"{self.path}/order.json")).items()}
 
     # -- fingerprints ------------------------------------------------------------------------------------------
 
-    def _prepared(self, entries: DataFrame) -> DataFrame:
-        """entry_seq, idh, day, words of every entry; nulls where a part is missing."""
-        rows = entries.where("entry_seq is not null").select("entry_seq", "id", "title", "event_date")
+    def prepared(self, entries: DataFrame, *more: str) -> DataFrame:
+        """entry_seq, idh, day, words (and ``more`` columns) of every entry, each entry_seq once (of each ``more``); nulls where a part is missing."""
+        rows = entries.where("entry_seq is not null").select("entry_seq", "id", "title", "event_date", *more).dropDuplicates(["entry_seq", *more])
         rows = instants.with_instant(rows, "event_date", F.lit("UTC"), F.lit(True))
-        return rows.select(
-            "entry_seq",
-            F.when(F.col("id").isNotNull(), F.xxhash64(F.lit("id"), "id")).alias("idh"),
-            F.floor(F.col("utc_us") / 86_400_000_000).cast("int").alias("day"),
-            title_words(F.col("title")).alias("words"),
-        )
+        day, words = F.floor(F.col("utc_us") / 86_400_000_000).cast("int"), title_words(F.col("title"))
+        rows = rows.select("entry_seq", F.when(F.col("id").isNotNull(), F.xxhash64(F.lit("id"), "id")).alias("idh"), day.alias("day"), words.alias("words"), *more)
+        return rows.withColumn("wc", F.when(F.col("words").isNotNull() & F.col("day").isNotNull(), F.xxhash64("words", "day")))
 
-    def _order(self, prepared: DataFrame) -> dict[int, int]:
-        """Words in more than a thousandth of the first step's titles, with their counts.
+    def fix_order(self, prepared: DataFrame) -> None:
+        """Fixes the order of words by those in more than a thousandth of the first step's titles, with their counts.
 
-        Fixed from then on, as the order must never change. At most a thousand times a title's words can be so frequent.
+        At most a thousand times a title's words can be so frequent, so the table is bounded. It never changes again.
+        """
+        if self.order is None:
+            titles = prepared.where("words is not null")
+            least = max(titles.count() // 1000, 20)
+            counts = titles.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") > least)
+            self.order = {r["word"]: r["count"] for r in counts.toLocalIterator()}
+            write_small(self.spark, f"{self.path}/order.json", json.dumps(self.order))
+
+    def _prints(self, classes: DataFrame, shifts: tuple[int, ...], *more: str) -> DataFrame:
+        """One row per fingerprint and neighbouring day bucket: wc, day, words, pos, era, fp."""
+        one = "transform(picked, (w, pos) -> struct(pos, cast(floor({0} / {1}) as int) as era, xxhash64(w, {0}) as fp))"
+        every = ", ".join(one.format(f"(cast(floor(day / {self.days + 1}) as int) + {shift})", _ERA_BUCKETS) for shift in shifts)
+        return classes.selectExpr(*more, "wc", "day", "words", f"inline(flatten(array({every})))")
+
+    def _alike(self, prefix: str) -> str:
+        """Whether two entries that share a fingerprint repeat each other by date and title; the other's columns have a prefix.
+
+        If it is the earliest word that they share, at most the words from there on can be common; the meeting at the
+        earliest shared word always passes this bound, so no pair is lost.
         """
-        titles = prepared.where("words is not null")
-        least = max(titles.count() // 1000, 20)
-        counts = titles.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") > least)
-        return {r["word"]: r["count"] for r in counts.toLocalIterator()}
+        least = f"(size(words) + size({prefix}words)) * {self.share}"
+        most = f"least(size(words) - pos, size({prefix}words) - {prefix}pos)"
+        return f"abs(day - {prefix}day) <= {self.days} and {most} * {10 + self.share} >= {least} and size(array_intersect(words, {prefix}words)) * {10 + self.share} >= {least}"
 
-    def _fingerprinted(self, prepared: DataFrame) -> DataFrame:
-        """Adds ``own`` (fingerprints to store) and ``probes`` (fingerprints to look for), and the class ``wc`` of equal words and day."""
-        frequent, share, bucket_days = self.frequent, self.share, self.days + 1
+    def staged(self, prepared: DataFrame, at: str) -> None:
+        """Writes the tables ``entries``, ``classes`` and ``edges`` of each batch below ``at``, each in a folder ``batch=N``.
+
+        ``prepared`` has a column batch besides. Edges join the classes (key, nb) of a batch that are alike, each pair
+        in both directions, each such class with itself, and each class or id of several entries with itself. ``open``
+        entries have such an id or class; no other of their batch can decide about the rest.
+        """
+        frequent, share = self.order, self.share
 
         @F.pandas_udf(_LONGS)
-        def chosen(words: pd.Series) -> pd.Series:
-            def one(w):
-                if w is None:
-                    return None
-                n = len(w)
-                return sorted(w, key=lambda x: (frequent.get(x, 0), x))[: n - (share * n + 9) // 10 + 1]
-
-            return words.map(one)
-
-        rows = prepared.withColumn("picked", chosen("words"))
-        usable = F.col("words").isNotNull() & F.col("day").isNotNull()
-        bucket = F.floor(F.col("day") / bucket_days).cast("int")
-        at = lambda shift: F.when(usable, F.transform("picked", lambda w: F.xxhash64(w, bucket + shift)))
-        none = F.array().cast("array<bigint>")
-        ids = F.when(F.col("idh").isNotNull(), F.array("idh"))
-        joined = lambda *xs: F.concat(*[F.coalesce(x, none) for x in xs])
-        return rows.select(
-            "entry_seq", "idh", "day", "words",
-            F.when(usable, F.xxhash64("words", "day")).alias("wc"),
-            joined(at(0), ids).alias("own"),
-            joined(at(-1), at(0), at(1), ids).alias("probes"),
-        )
-
-    def _alike(self, prefix_a: str, prefix_b: str) -> Column:
-        """Whether two entries repeat each other by date and title."""
-        a, b = F.col(f"{prefix_a}words"), F.col(f"{prefix_b}words")
-        common = F.size(F.array_intersect(a, b))
-        near = F.abs(F.col(f"{prefix_a}day") - F.col(f"{prefix_b}day")) <= self.days
-        return F.coalesce(near & (common * 10 >= (F.size(a) + F.size(b) - common) * self.share), F.lit(False))
-
-    # -- the stored tables ---------------------------------------------------------------------------------------
-
-    def _part(self, fingerprint: Column) -> Column:
-        return F.pmod(fingerprint, F.lit(self.parts)).cast("int")
-
-    def _screened(self, prints: DataFrame) -> DataFrame:
-        """Those of the distinct fingerprints that the filters of their partition may hold."""
-        filters = self.spark.read.parquet(f"{self.path}/filters")
-
-        def screen(probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            values = probes["fp"].to_numpy().view(np.uint64)
-            hit = np.zeros(len(values), bool)
-            for bits in held["bits"]:
-                table = np.frombuffer(bits, np.uint8)
-                hit |= np.logical_and.reduce([table[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in _places(values, len(table) * 8)]).astype(bool)
-            return probes[hit][["fp"]]
-
-        return prints.withColumn("part", self._part(F.col("fp"))).groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(screen, "fp bigint")
-
-    def _extend(self, accepted: DataFrame) -> None:
-        """Adds accepted entries, their fingerprints, and one more Bloom filter per partition."""
-        accepted.select("entry_seq", "idh", "day", "words").write.mode("append").parquet(f"{self.path}/entries")
-        prints = accepted.select(F.explode("own").alias("fp"), "entry_seq").withColumn("part", self._part(F.col("fp")))
-        prints.repartition("part").write.mode("append").parquet(f"{self.path}/fingerprints")
-
-        def build(rows: pd.DataFrame) -> pd.DataFrame:
-            values = np.unique(rows["fp"].to_numpy()).view(np.uint64)
-            table = np.zeros(max(8, 1 << (2 * len(values) - 1).bit_length()), np.uint8)
-            for at in _places(values, len(table) * 8):
-                np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-            return pd.DataFrame({"part": [rows["part"].iloc[0]], "bits": [table.tobytes()]})
-
-        prints.select("part", "fp").distinct().groupBy("part").applyInPandas(build, "part int, bits binary").write.mode("append").parquet(f"{self.path}/filters")
+        def picked(words):
+            return words.map(lambda w: winnowed(w, frequent, share))
+
+        spread = lambda rows, by: rows.repartition("batch", F.pmod(by, F.lit(8)))  # noqa: E731  # few files a batch
+        classes = prepared.where("wc is not null").groupBy("batch", "wc").agg(F.first("day").alias("day"), F.first("words").alias("words"), F.count("*").alias("n"))
+        classes = classes.withColumn("picked", picked("words"))
+        spread(classes, "wc").write.partitionBy("batch").parquet(f"{at}/classes")
+        classes = self.spark.read.schema(f"{_CLASS}, n bigint, batch int").parquet(f"{at}/classes")
+        mine = self._prints(classes, (0,), "batch")
+        theirs = self._prints(classes, (-1, 0, 1), "batch").selectExpr("batch", "era", "fp", *[f"{c} as nb_{c}" for c in ("wc", "day", "words", "pos")])
+        met = mine.join(theirs, ["batch", "era", "fp"]).where(f"wc <> nb_wc and {self._alike('nb_')}")
+        pairs = "struct(wc as key, nb_wc as nb), struct(nb_wc as key, wc as nb), struct(wc as key, wc as nb), struct(nb_wc as key, nb_wc as nb)"
+        shared = prepared.where("idh is not null").groupBy("batch", "idh").agg(F.count("*").alias("n")).where("n > 1")
+        every = met.selectExpr("batch", f"inline(array({pairs}))").unionByName(classes.where("n > 1").selectExpr("batch", "wc as key", "wc as nb"))
+        every = every.distinct().unionByName(shared.selectExpr("batch", "idh as key", "idh as nb"))
+        spread(every, "key").write.partitionBy("batch").parquet(f"{at}/edges")
+        open_keys = self.spark.read.schema(f"{_EDGE}, batch int").parquet(f"{at}/edges").where("key = nb").select("batch", "key")
+        entries = prepared.select("batch", "entry_seq", "idh", "wc")
+        for name in ("idh", "wc"):
+            entries = entries.join(open_keys.select("batch", F.col("key").alias(name), F.lit(True).alias(f"open_{name}")), ["batch", name], "left")
+        entries = entries.selectExpr("batch", "entry_seq", "idh", "wc", "coalesce(open_idh, open_wc, false) as open")
+        spread(entries, "entry_seq").write.partitionBy("batch").parquet(f"{at}/entries")
+
+    # -- the stored levels ---------------------------------------------------------------------------------------
+
+    def _levels(self, kind: str, schema: str, levels: list[dict]) -> DataFrame:
+        """The tables ``prints`` or ``filters`` of some levels, in one scan."""
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*[f"{self.path}/step={level['step']}/kind={kind}" for level in levels])
+
+    def _positives(self, probes: DataFrame, rows: int) -> DataFrame:
+        """The probes (era, fp, key, pos, day, words) that the filters of their partition may hold, with step and dir of it.
+
+        The batch's fingerprints go to the filters, in packets; filters are read where they lie.
+        """
+        packets = -(-rows * 20 // 1_000_000)
+        where = ", ".join(f"struct('{level['step']}' as step, era * {_MOST_PARTS}L + pmod(fp, {level['spread']}) as part)" for level in self.levels)
+        probes = probes.selectExpr("struct(fp, key, pos, day, words) as probe", f"inline(array({where}))")
+        packed = probes.groupBy("step", "part", F.expr(f"pmod(shiftright(probe.fp, 20), {packets})").alias("packet")).agg(F.collect_list("probe").alias("probes"))
+        looked_at = self._looked_at = self.spark.sparkContext.accumulator(0)
+
+        def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    held = batch["probes"][row].values
+                    found = held.filter(pa.array(_held(np.frombuffer(batch["bits"][row].as_buffer(), np.uint8), held.field("fp").to_numpy())))
+                    if len(found):
+                        looked_at.add(batch["n"][row].as_py())
+                    same = [pa.array([batch[c][row].as_py()] * len(found), kind) for c, kind in (("step", pa.string()), ("part", pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*same, *found.flatten()], names=["step", "dir", "fp", "key", "pos", "day", "words"])
+
+        joined = self._levels("filters", _FILTER, self.levels).join(F.broadcast(packed) if rows <= _TASK_ROWS else packed, ["step", "part"])
+        screened = joined.select("step", "part", "n", "probes", "bits").mapInArrow(screen, "step string, dir bigint, fp bigint, key bigint, pos int, day int, words array<bigint>")
+        return screened.where("key is not null")
+
+    def _known(self, entries: DataFrame, classes: DataFrame, rows: int, eras: tuple[int, int]) -> DataFrame:
+        """``entries`` with kept_seq, the first stored entry that each repeats, or null."""
+        ids = entries.where("idh is not null").select("idh").distinct()
+        ids = ids.selectExpr("idh as key", "cast(null as int) as day", "cast(null as array<bigint>) as words", "0 as pos", f"{_ID_ERA} as era", "idh as fp")
+        probes = self._prints(classes, (-1, 0, 1)).withColumnRenamed("wc", "key").unionByName(ids)
+        positives = self._positives(probes, rows)
+        stored = self._levels("prints", _PRINT, self.levels).selectExpr("step", "dir", "fp", "entry_seq as old_seq", "day as old_day", "pos as old_pos", "words as old_words")
+        first, last = ((era + shift) * _MOST_PARTS for era, shift in zip(eras, (0, 1), strict=True))
+        stored = stored.where(f"dir >= {first} and dir < {last} or dir < {(_ID_ERA + 1) * _MOST_PARTS}")
+        met = stored.join(F.broadcast(positives) if rows <= _TASK_ROWS else positives, ["step", "dir", "fp"])
+        hits = met.where(f"words is null or {self._alike('old_')}")
+        known = hits.groupBy("key").agg(F.min("old_seq").alias("old_seq"))
+        asked = entries.selectExpr("*", "explode(array(idh, wc)) as key")
+        return asked.join(known, "key", "left").groupBy(*entries.columns).agg(F.min("old_seq").alias("kept_seq"))
 
     # -- a step --------------------------------------------------------------------------------------------------
 
     def add(self, entries: DataFrame) -> DataFrame:
-        """Takes in entries that all come after those taken in before; returns kept_seq, dup_seq of those not accepted."""
-        prepared = self._prepared(entries)
-        if self.frequent is None:
-            prepared = kept(prepared, "prepared")
-            self.frequent = self._order(prepared)
-        whole = kept(self._fingerprinted(prepared), "step")
-        # Equal id, words and day: decided by the first of them.
-        same = [F.coalesce(F.col("idh"), F.col("entry_seq")).alias("k_id"), F.col("idh").isNull().alias("no_id"), F.coalesce(F.col("wc"), F.lit(0)).alias("k_wc"), F.col("wc").isNull().alias("no_wc")]
-        firsts = whole.groupBy(*same).agg(F.min("entry_seq").alias("first"))
-        keyed = whole.select("entry_seq", *same)
-        copies = keyed.join(firsts, ["k_id", "no_id", "k_wc", "no_wc"]).where("entry_seq <> first").select("entry_seq", "first")
-        step = whole.join(copies.select("entry_seq"), "entry_seq", "left_anti")
-        known = self._known(step) if self.steps else None
-        fresh = step if known is None else step.join(known.select("entry_seq"), "entry_seq", "left_anti")
-        accepted, repeats = self._settled(fresh)
-        self._extend(step.join(accepted.select("entry_seq"), "entry_seq", "left_semi"))
-        self.steps += 1
-        decided = repeats if known is None else repeats.unionByName(known)
-        decided = kept(decided, "decided")
-        of_copies = copies.join(decided.withColumnRenamed("entry_seq", "first"), "first", "left").select(F.coalesce("kept_seq", "first").alias("kept_seq"), F.col("entry_seq").alias("dup_seq"))
-        return kept(decided.select("kept_seq", F.col("entry_seq").alias("dup_seq")).unionByName(of_copies), "repeats")
-
-    def _known(self, step: DataFrame) -> DataFrame:
-        """entry_seq, kept_seq of the entries that repeat stored ones."""
-        probes = kept(step.select("entry_seq", F.explode("probes").alias("fp")), "probes")
-        positive = self._screened(probes.select("fp").distinct())
-        stored = self.spark.read.parquet(f"{self.path}/fingerprints").select("fp", F.col("entry_seq").alias("old_seq"))
-        met = probes.join(stored.join(positive, "fp", "left_semi"), "fp").select("entry_seq", "old_seq").distinct()
-        olds = self.spark.read.parquet(f"{self.path}/entries").select(F.col("entry_seq").alias("old_seq"), F.col("idh").alias("old_idh"), F.col("day").alias("old_day"), F.col("words").alias("old_words"))
-        pairs = met.join(olds, "old_seq").join(step.select("entry_seq", "idh", "day", "words"), "entry_seq")
-        hit = pairs.where((F.col("idh") == F.col("old_idh")) | self._alike("", "old_"))
-        return kept(hit.groupBy("entry_seq").agg(F.min("old_seq").alias("kept_seq")), "known")
-
-    def _settled(self, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(entry_seq of the accepted), (entry_seq, kept_seq of the rest) among entries that no stored one matches.
+        """Takes in entries (entry_seq, id, title, event_date) that all come after those taken in before.
+
+        Returns kept_seq, dup_seq of those not accepted; the rows lie in the store's folder.
+        """
+        prepared = kept(self.prepared(entries).withColumn("batch", F.lit(0)), "prepared")
+        self.fix_order(prepared)
+        return repeats_in(self.spark, self.take_all(prepared))
+
+    def take_all(self, prepared: DataFrame) -> list[str]:
+        """Takes in the batches of a kept table of prepared entries, one after the other; the folders of their repeats."""
+        eras = lambda x: F.floor(F.floor(x / (self.days + 1)) / _ERA_BUCKETS)
+        sizes = prepared.groupBy("batch").agg(F.count("*").alias("rows"), eras(F.min("day") - self.days - 1).alias("first"), eras(F.max("day") + self.days + 1).alias("last")).orderBy("batch").collect()
+        at, out = scratch_path(self.spark, "batches"), []
+        if sizes:
+            self.staged(prepared, at)
+        dropped(prepared)
+        there = {kind: set(names(self.spark, f"{at}/{kind}")) for kind in ("classes", "edges")}
+        for size in sizes:
+            own = lambda kind, schema, of=f"batch={size['batch']}": self.spark.read.schema(schema).parquet(f"{at}/{kind}/{of}") if of in there.get(kind, {of}) else self.spark.createDataFrame([], schema)
+            out.append(self._take(own("entries", _ENTRY), own("classes", _CLASS), own("edges", _EDGE), size["rows"], (size["first"] or 0, size["last"] or 0)))
+        remove(self.spark, at)
+        return out
+
+    def _take(self, entries: DataFrame, classes: DataFrame, edges: DataFrame, rows: int, eras: tuple[int, int]) -> str:
+        """One step over the staged tables of a batch; the folder of its repeats."""
+        tasks = -(-rows // _TASK_ROWS)
+        entries, classes, edges = (x.coalesce(tasks) for x in (entries, classes, edges))
+        seen = None
+        if self.levels:
+            seen = kept(self._known(entries, classes, rows, eras), "seen")
+            self.looked_at.append(self._looked_at.value)
+            entries = seen.coalesce(tasks)
+            known = entries.where("kept_seq is not null").selectExpr("kept_seq", "entry_seq as dup_seq")
+            entries = entries.where("kept_seq is null")
+        else:
+            known = self.spark.createDataFrame([], _REPEAT)
+            self.looked_at.append(0)
+        crowd = entries.where("open").select("entry_seq", "idh", "wc")
+        settled, rounds = self._settled(crowd, edges, tasks)
+        new = self._nearest(settled, crowd, edges).where("by < entry_seq").selectExpr("by as kept_seq", "entry_seq as dup_seq")
+        path = self._extended(entries.where("not open").select("entry_seq", "idh", "wc").unionByName(settled), classes, known.unionByName(new), rows)
+        dropped(seen)
+        for at in rounds:
+            remove(self.spark, at)
+        return path
+
+    @staticmethod
+    def _nearest(rows: DataFrame, to: DataFrame, edges: DataFrame) -> DataFrame:
+        """``to`` (entry_seq, idh, wc) with ``by``: the least entry of ``rows`` with its id, or in its or a like class."""
+        keyed = lambda x: x.selectExpr("entry_seq", "idh", "wc", "explode(array(idh, wc)) as key")
+        least = keyed(rows).where("key is not null").groupBy("key").agg(F.min("entry_seq").alias("least")).withColumnRenamed("key", "nb")
+        marks = edges.join(least, "nb").groupBy("key").agg(F.min("least").alias("least"))
+        return keyed(to).join(marks, "key", "left").groupBy("entry_seq", "idh", "wc").agg(F.min("least").alias("by"))
+
+    def _settled(self, crowd: DataFrame, edges: DataFrame, tasks: int) -> tuple[DataFrame, list[str]]:
+        """The accepted among entries that no stored one matches but others of their batch may, and the folders of the rounds.
 
         In entry_seq order, an entry is accepted unless an accepted earlier one shares its id or is alike. In each
-        round, entries with no undecided earlier neighbour are accepted and what they match drops out. Neighbours are
-        found over classes of equal words and day, and over ids, by their least entry, so a class may be of any size.
+        round, entries with no undecided earlier neighbour are accepted and what they match drops out; a round writes
+        one table. A class counts by its least entry, so it may be of any size.
         """
-        classes = fresh.where("wc is not null").groupBy("wc").agg(F.first("words").alias("words"), F.first("day").alias("day"), F.first("own").alias("own"), F.first("probes").alias("probes"), F.first("idh").alias("idh"))
-        classes = kept(classes, "classes")
-        mine = lambda name: F.explode(F.filter(name, lambda x: F.coalesce(x != F.col("idh"), F.lit(True)))).alias("fp")  # noqa: E731  # without the id's print
-        met = classes.select("wc", mine("own")).join(classes.select(F.col("wc").alias("nb"), mine("probes")), "fp").where("wc <> nb").select("wc", "nb").distinct()
-        left, right = classes.select("wc", "words", "day"), classes.select(F.col("wc").alias("nb"), F.col("words").alias("nb_words"), F.col("day").alias("nb_day"))
-        edges = kept(met.join(left, "wc").join(right, "nb").where(self._alike("", "nb_")).select("wc", "nb"), "edges")
-        own_class = lambda rows, name: rows.where("wc is not null").groupBy("wc").agg(F.min("entry_seq").alias(name))
-
-        def nearest(rows: DataFrame, to: DataFrame) -> DataFrame:
-            """Of each entry of ``to``, the least entry of ``rows`` with its id (by_id) and of its or a like class (by_wc)."""
-            ids = rows.where("idh is not null").groupBy("idh").agg(F.min("entry_seq").alias("by_id"))
-            own = own_class(rows, "least")
-            around = edges.join(own.withColumnRenamed("wc", "nb"), "nb").select("wc", "least").unionByName(own).groupBy("wc").agg(F.min("least").alias("by_wc"))
-            return to.join(ids, "idh", "left").join(around, "wc", "left")
-
-        waiting = kept(fresh.select("entry_seq", "idh", "wc"), "waiting")
-        accepted = None
+        waiting, rounds, schema = crowd, [], "entry_seq bigint, idh bigint, wc bigint"
+        read = lambda *paths: self.spark.read.schema(schema).parquet(*paths).coalesce(tasks)
         while True:
-            seen = nearest(waiting, waiting)
-            first = seen.where("(by_id is null or by_id = entry_seq) and (by_wc is null or by_wc = entry_seq)").select("entry_seq", "idh", "wc")
-            first = kept(first, "accepted")
-            accepted = first if accepted is None else accepted.unionByName(first)
-            waiting = kept(nearest(first, waiting).where("by_id is null and by_wc is null and (idh is not null or wc is not null)").select("entry_seq", "idh", "wc"), "waiting")
-            if waiting.isEmpty():
+            seen = self._nearest(waiting, waiting, edges)
+            first = seen.where("by is null or by = entry_seq").drop("by")
+            after = self._nearest(first, seen.where("by < entry_seq").drop("by"), edges).where("by is null").drop("by")
+            at = scratch_path(self.spark, "round")
+            first.withColumn("state", F.lit("accepted")).unionByName(after.withColumn("state", F.lit("waiting"))).write.partitionBy("state").parquet(at)
+            rounds.append(at)
+            if "state=waiting" not in names(self.spark, at):
                 break
-        rest = fresh.select("entry_seq", "idh", "wc").join(accepted.select("entry_seq"), "entry_seq", "left_anti")
-        repeats = nearest(accepted, rest).select("entry_seq", F.least("by_id", "by_wc").alias("kept_seq"))
-        return accepted, repeats
+            waiting = read(f"{at}/state=waiting")
+        accepted = [f"{at}/state=accepted" for at in rounds if "state=accepted" in names(self.spark, at)]
+        return read(*accepted) if accepted else self.spark.createDataFrame([], schema), rounds
+
+    def _extended(self, accepted: DataFrame, classes: DataFrame, repeats: DataFrame, rows: int) -> str:
+        """Writes a step's repeats and one more level: the prints of the accepted, those of merged levels, and their filters."""
+        size, merged, levels = rows * 6, [], list(self.levels)
+        while levels and levels[-1]["prints"] < 2 * size:
+            merged.append(levels.pop())
+            size += merged[-1]["prints"]
+        spread = min(1 << max(0, (size // _PART_PRINTS).bit_length()), _MOST_PARTS)
+        columns = ["entry_seq", "day", "words", "pos", "era", "fp"]
+        titles = self._prints(classes.join(accepted.where("wc is not null").select("wc", "entry_seq"), "wc"), (0,), "entry_seq").select(*columns)
+        prints = titles.unionByName(accepted.where("idh is not null").selectExpr("entry_seq", "cast(null as int) as day", "cast(null as array<bigint>) as words", "0 as pos", f"{_ID_ERA} as era", "idh as fp"))
+        if merged:
+            prints = prints.unionByName(self._levels("prints", _PRINT, merged).select(*columns))
+        prints = prints.withColumn("dir", F.expr(f"era * {_MOST_PARTS}L + pmod(fp, {spread})"))
+
+        def build(rows: pa.Table) -> pa.Table:
+            return pa.table({"part": rows["dir"].slice(0, 1), "n": pa.array([pa.compute.sum(rows["n"]).as_py()], pa.int64()), "bits": pa.array([_filled(rows["fp"].to_numpy())], pa.binary())})
+
+        filters = prints.groupBy("dir", "fp").agg(F.count("*").alias("n")).groupBy("dir").applyInArrow(build, "part bigint, n bigint, bits binary")
+        out = prints.withColumn("kind", F.lit("prints"))
+        for kind, more in (("filters", filters), ("repeats", repeats)):
+            out = out.unionByName(more.withColumns({"kind": F.lit(kind), "dir": F.lit(0).cast("bigint")}), allowMissingColumns=True)
+        step = uuid.uuid4().hex
+        out.repartition("kind", "dir").sortWithinPartitions("kind", "dir", "fp").write.partitionBy("kind", "dir").parquet(f"{self.path}/step={step}")
+        there = names(self.spark, f"{self.path}/step={step}")
+        self.steps, self.levels = self.steps + 1, [*levels, {"step": step, "spread": spread, "prints": size}] if "kind=filters" in there else levels
+        state = {"share": self.share, "days": self.days, "steps": self.steps, "levels": self.levels}
+        write_small(self.spark, f"{self.path}/state-{self.steps:09d}.json", json.dumps(state))
+        for level in merged:  # the repeats of its step stay
+            for kind in ("prints", "filters"):
+                remove(self.spark, f"{self.path}/step={level['step']}/kind={kind}")
+        return f"{self.path}/step={step}/kind=repeats/dir=0"
+
+
+def repeats_in(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """kept_seq, dup_seq of some steps."""
+    paths = [p for p in paths if names(spark, p)]
+    return spark.read.schema(_REPEAT).parquet(*paths) if paths else spark.createDataFrame([], _REPEAT)
 
 
 def _places(values: np.ndarray, bits: int, hashes: int = 6) -> Iterator[np.ndarray]:
     """The places of each value in a Bloom filter of ``bits`` bits (a power of two)."""
+    values = values.view(np.uint64)
     step = (values * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     for k in range(hashes):
         yield ((values ^ (values >> np.uint64(29))) + np.uint64(k) * step >> np.uint64(7)) & np.uint64(bits - 1)
 
 
-def repeated_entries(entries: DataFrame, path: str | None = None, step_rows: int = 20_000) -> DataFrame:
+def _filled(values: np.ndarray) -> bytes:
+    """A Bloom filter of distinct values, with 8 to 16 bits for each."""
+    table = np.zeros(max(8, 1 << (len(values) - 1).bit_length()), np.uint8)
+    for at in _places(values, len(table) * 8):
+        np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return table.tobytes()
+
+
+def _held(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a Bloom filter may hold."""
+    return np.logical_and.reduce([table[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in _places(values, len(table) * 8)]).astype(bool)
+
+
+def repeated_entries(entries: DataFrame, path: str | None = None) -> DataFrame:
     """kept_seq, dup_seq: each entry that repeats an accepted earlier one, with the smallest such accepted entry.
 
-    ``entries``: entry_seq, batch_no, id, title, event_date; batches follow each other in entry_seq order. Batches are
-    taken in one after the other; consecutive small ones are taken in together until ``step_rows`` rows are reached,
-    which changes no result. Null dates and titles match by id only, null ids match nothing; rows without entry_seq are
-    left out and a repeated entry_seq counts once.
+    ``entries``: entry_seq, batch_no, id, title, event_date; batches follow each other in entry_seq order and are taken
+    in one after the other, each against the store that the batches before it left. Null dates and titles match by id
+    only, null ids match nothing; rows without entry_seq are left out and a repeated entry_seq counts once. What needs no
+    store (words, days, classes of equal titles) is worked out for all batches at once.
     """
     spark = entries.sparkSession
     store = HistoryStore(spark, path or scratch_path(spark, "history"))
-    entries = entries.where("entry_seq is not null")
-    sizes = [(r[0], r[1]) for r in entries.groupBy(F.coalesce("batch_no", F.lit(0)).alias("b")).count().orderBy("b").collect()]
-    steps: list[list[int]] = []
-    held = step_rows
-    for batch, size in sizes:
-        if held >= step_rows:
-            steps.append([])
-            held = 0
-        steps[-1].append(batch)
-        held += size
-    out = spark.createDataFrame([], "kept_seq bigint, dup_seq bigint")
-    for step in steps:
-        out = out.unionByName(store.add(entries.where(F.coalesce("batch_no", F.lit(0)).between(step[0], step[-1])).dropDuplicates(["entry_seq"])))
-    return out
+    prepared = kept(store.prepared(entries.withColumn("batch", F.coalesce("batch_no", F.lit(0))), "batch"), "prepared")
+    store.fix_order(prepared.where(F.col("batch") == (prepared.agg(F.min("batch")).first()[0] or 0)))
+    return repeats_in(spark, store.take_all(prepared))
