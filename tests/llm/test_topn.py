@@ -39,11 +39,21 @@ def test_equals_brute_force_with_ties_hot_groups_and_bad_rows(spark):
 
 
 def test_blocks_below_the_nth_score_are_not_read(spark):
-    rows = [(e, "2025-11-01T00:00:00Z", e % 100 / 10, "hot") for e in range(2000)]
-    layout, blocks = topn.clustered_layout(topn.scored_events(spark.createDataFrame([(*r, "c", 1) for r in rows], SCHEMA)), 50)
+    rows = [(e, "2025-11-01T00:00:00Z", e % 100 / 10, "hot") for e in range(2000)] + [(5000 + e, "2025-11-01T00:00:00Z", 1.0 + e % 7, f"s{e % 50}") for e in range(200)]
+    layout, blocks = topn.clustered_layout(topn.scored_events(spark.createDataFrame([(*r, "c", 1) for r in rows], SCHEMA)), 50, row_group=4096)
     first = layout.where("block = 0")
-    assert first.count() < 200 and layout.count() == 2000
-    assert blocks.agg({"top": "max"}).first()[0] < first.agg({"score": "min"}).first()[0]
+    assert first.where("source_id = 'hot'").count() < 200 and layout.count() == 2200
+    assert blocks.agg({"top": "max"}).first()[0] < first.where("source_id = 'hot'").agg({"score": "min"}).first()[0]
+    # With three ranks nothing beyond the first blocks is due; with 70, of the hot group the next block only.
+    order = "row_number() over (partition by source_id, event_day order by score desc, utc_us desc, event_id) as rnk"
+    best = first.selectExpr("*", order)
+    assert topn.due_blocks(blocks, best, 3, 0).count() == 0
+    due = topn.due_blocks(blocks, best, 70, 0)
+    assert {r.source_id for r in due.collect()} == {"hot"}
+    read = topn.read_block(layout, due, 1, "hot", "hot", 0.0)
+    assert 0 < read.count() <= 120
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(block,1)" in plan and "GreaterThanOrEqual(source_id,hot)" in plan
 
 
 def test_empty_table(spark):
