@@ -28,7 +28,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_values(spark: SparkSession, d: str) -> DataFrame:
-    """Every metadata value judged true, and from which member it is taken."""
+    """Every metadata value judged true (of lists, every element), and from which member it is taken."""
     return fuse.true_values(*_fusion(spark, d)).drop("belief")
 
 
