@@ -44,7 +44,12 @@ def test_rules(spark):
 
 def test_shuffle_join_gives_the_same_as_broadcast(spark):
     rows = spark.createDataFrame([(n, c[0]) for n, c in enumerate(CASES * 3)], "rec bigint, packed array<string>")
-    assert sorted(packed.split_packed(rows, ["rec"], "packed", broadcast_bytes=0).collect()) == sorted(packed.split_packed(rows, ["rec"], "packed").collect())
+    want = sorted(packed.split_packed(rows, ["rec"], "packed").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(packed.split_packed(rows, ["rec"], "packed").collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_nulls_long_texts_repeats_and_empty_tables(spark):

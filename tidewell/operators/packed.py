@@ -3,7 +3,8 @@
 Ordinary characters are masked, which leaves the *delimiter skeleton* of a field: one code per token, where a
 run of ordinary words is ``W`` and a single word ``w``. How a field divides depends on its skeleton alone, so the
 rule is worked out once per distinct skeleton and joined back; names are then cut out by token position with
-built-in functions.
+built-in functions. Nothing reaches across the elements of a list, so each element has a skeleton of its own: their
+number hardly grows with the rows, however long the lists are. Elements of one record are put together again at the end.
 
 Nulls, empty fields and empty parts give no row and take no position. Texts are read whole, whatever their
 length. Repeated rows each give their names. Empty tables give empty results.
@@ -16,17 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.shared import kept
+from tidewell.shared import buckets, kept
 
-#: Between two elements of a list within one record; nothing reaches across it.
-BREAK = "\x01"
 #: Characters that divide, those that enclose, and horizontal white space.
 COMMAS, SEMICOLONS, BARS, BULLETS, QUOTES = ",，、", ";；", "|｜", "•‣◦∙●▪", "\"'“”‘’"
 _BLANK_CODES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 0x0B, 0x0C]
 _LINE_CODES = [0x09, 0x0A, 0x0D, 0x85, 0x2028, 0x2029]
 _BLANK = r" \u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\x0B\x0C"
 _LINE = r"\t\n\r\u0085\u2028\u2029"
-_STOP = rf"{_BLANK}{_LINE}{COMMAS}{SEMICOLONS}{BARS}{BULLETS}&\"“”‘’'()（）{BREAK}"
+_STOP = rf"{_BLANK}{_LINE}{COMMAS}{SEMICOLONS}{BARS}{BULLETS}&\"“”‘’'()（）"
 _END = rf"(?=[{_STOP}]|$)"
 _AND, _SUFFIX = rf"(?i:and){_END}", rf"(?:(?i:[js]r\.?)|III){_END}"
 _SLASH = rf"(?<=[{_BLANK}{_LINE}])/(?=[{_BLANK}{_LINE}])"
@@ -51,7 +50,7 @@ def _code(token: Column) -> Column:
         .when(single & first.isin(*(SEMICOLONS + BARS + BULLETS + "&/"), *(chr(c) for c in _LINE_CODES)), "|")
         .when(whole.isin("&amp;", "and"), "|")
         .when(whole.isin("jr", "jr.", "sr", "sr.") | (token == "III"), "J")
-        .when(single & first.isin(*QUOTES, "(", ")", BREAK), first)
+        .when(single & first.isin(*QUOTES, "(", ")"), first)
         .when(single & (first == "（"), "(")
         .when(single & (first == "）"), ")")
         .when(token.contains(" ") | token.rlike(rf"[{_BLANK}]"), "W")
@@ -60,21 +59,12 @@ def _code(token: Column) -> Column:
 
 
 def skeleton(parts: Column) -> Column:
-    """One code per token: `` `` blank, ``,`` comma, ``|`` other delimiter, ``J`` a suffix such as Jr., ``w``/``W`` one/more words; quotes, parentheses and breaks stay."""
+    """One code per token: `` `` blank, ``,`` comma, ``|`` other delimiter, ``J`` a suffix such as Jr., ``w``/``W`` one/more words; quotes and parentheses stay."""
     return F.array_join(F.transform(parts, _code), "")
 
 
 def divide(code: str) -> list[tuple[int, int, str]]:
     """The names of a skeleton as (first token, number of tokens, enclosing quote or '')."""
-    out: list[tuple[int, int, str]] = []
-    start = 0
-    for segment in code.split(BREAK):
-        out += [(start + a, n, q) for a, n, q in _divide_one(segment)]
-        start += len(segment) + 1
-    return out
-
-
-def _divide_one(code: str) -> list[tuple[int, int, str]]:
     closing, end = {"“": "”", "‘": "’", '"': '"', "'": "'"}, len(code)
     parts: list[tuple[int, int, str, str]] = []  # first, end, quote, delimiter after it
     at = 0
@@ -128,27 +118,30 @@ def _plan(codes: pd.Series) -> pd.Series:
     return codes.map(lambda code: [{"start": a, "length": n, "quote": q} for a, n, q in divide(code)])
 
 
-def split_packed(rows: DataFrame, keys: list[str], field: str, name: str = "author_name", broadcast_bytes: int = 8 << 20) -> DataFrame:
+def split_packed(rows: DataFrame, keys: list[str], field: str, name: str = "author_name") -> DataFrame:
     """One row per name: ``keys``, pos (from 1, in written order) and ``name``.
 
-    ``field`` is an array of strings, the elements of one packed value (one element for a plain string). The rules
-    of all distinct skeletons are broadcast if they stay under ``broadcast_bytes`` (their size is measured); beyond
-    it they are joined by a shuffle on the skeleton, where a frequent skeleton is split by adaptive execution.
+    ``field`` is an array of strings, the elements of one packed value (one element for a plain string). The table of
+    rules, one row per distinct skeleton, is joined back; the session's size limit for broadcasts decides how, by the
+    table's measured size, and a frequent skeleton is split by adaptive execution where it is shuffled.
     """
-    spark = rows.sparkSession
-    clean = F.transform(F.filter(field, lambda x: x.isNotNull()), lambda x: F.regexp_replace(F.regexp_replace(x, BREAK, " "), _LEADING_BY, ""))
-    cut = rows.select(*keys, tokens(F.array_join(clean, BREAK)).alias("_tokens")).withColumn("_code", skeleton(F.col("_tokens"))).where("_code rlike '[wWJ]'")
-    cut = kept(cut, "tokens")  # read twice below; cutting costs far more than this copy
-    plans = kept(cut.select("_code").distinct().withColumn("_plan", _plan("_code")), "skeletons")
-    size = plans.select(F.sum(F.length("_code") + F.size("_plan") * 24 + 64)).first()[0] or 0
-    cut = cut.join(F.broadcast(plans) if size <= broadcast_bytes else plans, "_code")
+    clean = F.transform(F.filter(field, lambda x: x.isNotNull()), lambda x: F.regexp_replace(x, _LEADING_BY, ""))
+    cut = rows.select(*keys, clean.alias("_parts")).where("size(_parts) > 0").withColumn("_row", F.monotonically_increasing_id())
+    cut = cut.select(*keys, "_row", (F.size("_parts") > 1).alias("_several"), F.posexplode("_parts").alias("_no", "_part"))
+    cut = cut.select(*keys, "_row", "_several", "_no", tokens(F.col("_part")).alias("_tokens")).withColumn("_code", skeleton(F.col("_tokens"))).where("_code rlike '[wWJ]'")
+    cut = kept(cut, "tokens")  # read again below; cutting costs far more than this copy
+    codes = cut.select("_code").distinct().repartition(buckets(rows.sparkSession), "_code")
+    plans = kept(codes.withColumn("_plan", _plan("_code")), "skeletons")
 
     def one(p: Column) -> Column:
         text = F.trim(F.regexp_replace(F.array_join(F.slice("_tokens", p["start"] + 1, p["length"]), ""), r"[\s\p{Z}]+", " "))
         return F.when(p["quote"] == "", text).otherwise(F.replace(text, F.concat(p["quote"], p["quote"]), p["quote"]))
 
-    names = cut.select(*keys, F.posexplode(F.transform("_plan", one)).alias("pos", name))
-    return names.withColumn("pos", F.col("pos") + 1)
+    names = lambda several: cut.where(F.col("_several") == several).join(plans, "_code").select(*keys, "_row", "_no", F.transform("_plan", one).alias("_names"))
+    together = names(True).groupBy("_row", *keys).agg(F.sort_array(F.collect_list(F.struct("_no", "_names"))).alias("_all"))  # elements of one value only
+    together = together.select(*keys, F.flatten("_all._names").alias("_names"))
+    out = names(False).select(*keys, "_names").unionByName(together).select(*keys, F.posexplode("_names").alias("pos", name))
+    return out.withColumn("pos", F.col("pos") + 1)
 
 
 def _elements(value: Column) -> Column:
