@@ -2,6 +2,7 @@ from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.operators import timestamps
 
@@ -79,6 +80,29 @@ def test_undeclared_order_is_fitted_or_marked(spark, sources):
     assert got[33].utc_us == us(2024, 2, 1, 1)
 
 
+def test_mixture_converges_to_its_fixed_point():
+    # a values only month first, b only day first, c either, half an imagined value each: s = (a + .5) / (a + b + 1).
+    for a, b, c in ((3, 1, 900), (0, 0, 50), (0, 7, 3)):
+        w = timestamps.fit_mixture([["month first"], ["day first"], ["month first", "day first"], ["epoch"]], [a, b, c, 40], {})
+        assert w["month first"] / (w["month first"] + w["day first"]) == pytest.approx((a + 0.5) / (a + b + 1), abs=1e-5)
+        assert sum(w.values()) == pytest.approx(1)
+    assert timestamps.fit_mixture([["month first", "day first"]], [10], {"day first": 20.0})["day first"] > 0.9
+    with pytest.raises(RuntimeError, match="still moves"):
+        timestamps.fit_mixture([["a"], ["a", "b"]], [1, 9], {}, most=1)
+
+
+def test_hidden_orders_are_found_from_the_sources_other_dates(spark):
+    sources = spark.createDataFrame([("m", "UTC", "MDY"), ("d", "UTC", "DMY"), ("u", "UTC", "DMY")], "source_id string, default_tz string, date_order string")
+    rows = [("m", "01/25/2024")] * 40 + [("m", "03/04/2024")] * 3 + [("d", "25.01.2024")] * 40 + [("d", "03.04.2024 10:00")] * 2 + [("u", "03/04/2024"), ("u", "2024-01-01")]
+    values = spark.createDataFrame([("t", n, "f", v, s) for n, (s, v) in enumerate(rows)], "rec_table string, rec_id bigint, field_name string, value string, source_id string")
+    assert {tuple(r) for r in timestamps.hidden_orders(values, sources).collect()} == {("MDY", "MDY", 3), ("DMY", "DMY", 2), ("DMY", "ambiguous", 1)}
+
+
+def test_canonical_values_are_those_without_anything_around(spark):
+    got = spark.createDataFrame([("2024-03-01T10:00:00.123Z",), ("2024-03-01T10:00:00.123Z\n",)], "v string").select(F.col("v").rlike(timestamps.CANONICAL)).collect()
+    assert [r[0] for r in got] == [True, False]
+
+
 def test_empty_tables(spark, sources):
     assert _read(spark, sources, []) == {}
     assert _read(spark, sources.limit(0), [("2024-03-01", "berlin")])[0].utc_us == us(2024, 3, 1)

@@ -23,9 +23,12 @@ def p1_lifespans(spark: SparkSession, d: str) -> DataFrame:
     return runs.groupBy("feed", "key", "island").agg(F.min("file_no").alias("first_file"), F.max("file_no").alias("last_file"), F.count("*").alias("files")).drop("island")
 
 
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    return timestamps.timestamp_values(table(spark, d, "raw_items"), table(spark, d, "rss_items"), table(spark, d, "pwc_raw"))
+
+
 def _instants(spark: SparkSession, d: str) -> DataFrame:
-    values = timestamps.timestamp_values(table(spark, d, "raw_items"), table(spark, d, "rss_items"), table(spark, d, "pwc_raw"))
-    return timestamps.normalise_instants(values, table(spark, d, "sources"))
+    return timestamps.normalise_instants(_values(spark, d), table(spark, d, "sources"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,12 +40,17 @@ def p3_notations(spark: SparkSession, d: str) -> DataFrame:
     return _instants(spark, d).where("value is not null").groupBy("rec_table", "field_name", F.coalesce("notation", F.lit("none")).alias("notation"), "status").agg(F.count("*").alias("n"))
 
 
+def p3_orders(spark: SparkSession, d: str) -> DataFrame:
+    """What the fitted mixtures decide about dates of either order, with all declared orders hidden, against these."""
+    return timestamps.hidden_orders(_values(spark, d), table(spark, d, "sources"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     fields = packed.author_fields(table(spark, d, "pwc_raw"), table(spark, d, "jsonld_nodes"))
     return packed.split_packed(fields, ["rec_table", "rec_id"], "packed")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_lifespans, p3_found, p3_notations, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_lifespans, p3_found, p3_notations, p3_orders, p5_found)}
 SQL: dict[str, str] = {
     "p1_lifespans": """with docs as (select feed, file_no, payload from pwc_raw where json_valid(payload) and json_type(payload) = 'OBJECT'),
 files as (select feed, file_no, row_number() over (partition by feed order by file_no) as file_at from (select distinct feed, file_no from pwc_raw)),
