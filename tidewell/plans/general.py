@@ -14,7 +14,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_papers(spark: SparkSession, d: str) -> DataFrame:
-    return drift.unified_records(table(spark, d, "pwc_raw"))
+    """All records in one layout; of the fields that no alias names, their names."""
+    rows = drift.unified_records(table(spark, d, "pwc_raw"))
+    return rows.withColumn("other", F.array_join(F.array_sort(F.map_keys("other")), "|"))
+
+
+def p1_casts(spark: SparkSession, d: str) -> DataFrame:
+    return drift.generated_casts(table(spark, d, "pwc_raw"))
 
 
 def p1_lifespans(spark: SparkSession, d: str) -> DataFrame:
@@ -50,8 +56,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.split_packed(fields, ["rec_table", "rec_id"], "packed")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_lifespans, p3_found, p3_notations, p3_orders, p5_found)}
+def _papers_sql() -> str:
+    """One layout by the same alias table: the first spelling that is not null, then the cast."""
+    cast = {"boolean": "case when lower({0}) in ('true', 'yes', '1') then true when lower({0}) in ('false', 'no', '0') then false end", "bigint": "try_cast(regexp_replace({0}, '[,_ ]', '', 'g') as bigint)"}
+    columns = []
+    for canonical, names in drift.ALIASES.items():
+        text = "coalesce(" + ", ".join(f"""json_extract_string(doc, '$."{name}"')""" for name in names) + ")"
+        columns.append(f"{cast.get(drift.CASTS.get(canonical, ''), '{0}').format(text)} as {canonical}")
+    known = ", ".join(f"'{name}'" for names in drift.ALIASES.values() for name in names)
+    return f"""select record_no, feed, file_no, {', '.join(columns)}, array_to_string(list_sort(list_filter(json_keys(doc), lambda k: k not in ({known}))), '|') as other
+from (select *, case when json_valid(payload) and json_type(payload) = 'OBJECT' then payload end as doc from pwc_raw)"""
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_casts, p1_lifespans, p3_found, p3_notations, p3_orders, p5_found)}
 SQL: dict[str, str] = {
+    "p1_papers": _papers_sql(),
+    "p1_casts": f"""with seen as (select feed, file_no, unnest(json_keys(payload)) as key, payload from pwc_raw where json_valid(payload) and json_type(payload) = 'OBJECT'),
+typed as (select feed, file_no, key, case json_type(payload, '$."' || key || '"') when 'NULL' then null when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end as t from seen)
+select feed, key, coalesce(string_agg(distinct t, '|' order by t), '') as types, min(file_no) as first_file, max(file_no) as last_file, max(canonical) as canonical, max("cast") as "cast" from typed
+left join (values {', '.join(f"('{name}', '{canonical}', '{drift.CASTS.get(canonical, 'string')}')" for canonical, names in drift.ALIASES.items() for name in names)}) as a(key, canonical, "cast") using (key) group by feed, key""",
     "p1_lifespans": """with docs as (select feed, file_no, payload from pwc_raw where json_valid(payload) and json_type(payload) = 'OBJECT'),
 files as (select feed, file_no, row_number() over (partition by feed order by file_no) as file_at from (select distinct feed, file_no from pwc_raw)),
 seen as (select distinct feed, file_no, unnest(json_keys(payload)) as key from docs),
