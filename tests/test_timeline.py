@@ -2,8 +2,11 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidewell import shared
+
 from tidewell.operators import analysis, fuzzy, ingest, stats, timeline
 from tidewell.streaming import windows
 
@@ -11,7 +14,7 @@ ENTRY = "entry_seq bigint, id string, title string, day date, category string, k
 
 
 def _entries(spark, rows):
-    return spark.createDataFrame([(n, i, t, datetime.fromisoformat(d).date(), c, "clash") for n, i, t, d, c in rows], ENTRY)
+    return spark.createDataFrame([(n, i, t, d and datetime.fromisoformat(d).date(), c, "clash") for n, i, t, d, c in rows], ENTRY)
 
 
 def test_leaders_equal_a_sequential_scan(spark):
@@ -138,8 +141,13 @@ def test_normalised_rows_and_weeks(spark, tmp_path):
     days = spark.createDataFrame([("2024-03-04",), ("2024-01-01",)], "d string").select(timeline.week_name(F.to_date("d")).alias("w"))
     assert [r.w for r in days.collect()] == ["auto-update/week-2024-10", "auto-update/week-2024-01"]
     entries = _entries(spark, [(1, "a", "T", "2024-03-04", "x")])
-    assert timeline.append_week(entries, str(tmp_path), F.lit("2024-03-04").cast("date"))
-    assert not timeline.append_week(entries, str(tmp_path), F.lit("2024-03-04").cast("date"))
+    two = _entries(spark, [(2, "b", "U", "2024-03-12", "x"), (3, "c", "V", "2024-03-05", "x"), (4, "d", "W", None, "x")])
+    path = str(tmp_path / "weeks")
+    assert timeline.append_weeks(entries, path, F.to_date("day")) == ["week-2024-10"]
+    assert timeline.append_weeks(two, path, F.to_date("day")) == ["week-2024-11"]  # week 10 stays as it is
+    assert timeline.append_weeks(two, path, F.to_date("day")) == []
+    assert {(r.entry_seq, r.week) for r in spark.read.parquet(path).collect()} == {(1, "week-2024-10"), (2, "week-2024-11")}
+    assert [p.name for p in tmp_path.iterdir()] == ["weeks"]
 
 
 def test_statistics(spark):
@@ -168,12 +176,35 @@ def test_model_calls_in_batches(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "2024-01-01 01:00:00", "a"), (2, "2024-01-01 02:00:00", "a"), (1, "2024-01-01 03:00:00", "a")], "n bigint, t string, k string").withColumn("t", F.col("t").cast("timestamp"))
-    rows.write.parquet(f"{tmp_path}/x.parquet")
+    rows = [(1, "2024-01-01 01:00:00", "a"), (2, "2024-01-01 02:00:00", "a"), (1, "2024-01-01 03:00:00", "a"), (3, "2024-01-04 00:00:00", "a"), (4, "2024-01-02 23:00:00", "b")]
+    spark.createDataFrame(rows, "n bigint, t string, k string").withColumn("t", F.col("t").cast("timestamp")).write.parquet(f"{tmp_path}/x.parquet")
     stream = windows.parquet_stream(spark, str(tmp_path), "x")
-    assert [(r.k, r.n) for r in windows.run_once(windows.windowed_counts(stream, "t", "k"), "complete").collect()] == [("a", 3)]
-    once = windows.run_once(windows.first_deliveries(windows.parquet_stream(spark, str(tmp_path), "x"), "t", ["n"]).select("n"), "append")
-    assert sorted(r.n for r in once.collect()) == [1, 2]
+    # Only the day that ended two days before the newest row is over.
+    assert [(r.k, r.n) for r in windows.run_once(windows.windowed_counts(stream, "t", "k")).collect()] == [("a", 3)]
+    once = windows.run_once(windows.first_deliveries(windows.parquet_stream(spark, str(tmp_path), "x"), "t", ["n"]).select("n"))
+    assert sorted(r.n for r in once.collect()) == [1, 2, 3, 4]
+
+
+def test_keywords_by_count_then_place(spark):
+    rows = spark.createDataFrame([(1, "Beta alpha beta, alpha gamma https the delta delta-delta"), (2, None), (3, "a b c")], "n bigint, t string")
+    got = [tuple(r) for r in analysis.top_keywords(rows, "n", "t", 3).orderBy("rnk").collect()]
+    assert got == [(1, 1, "delta", 3), (1, 2, "beta", 2), (1, 3, "alpha", 2)]
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session)
 
 
 def _pair_score(a, b):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -50,13 +51,20 @@ def unit_vector(body: Column, dims: int = 12) -> Column:
     return F.transform(sums, lambda x: F.round(x / F.when(norm == 0, 1.0).otherwise(norm), 6))
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("freq", T.LongType())])))
+def _most_common(words: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([[{"word": w, "freq": k} for w, k in Counter(ws).most_common(m)] for ws, m in zip(words, n, strict=True)])
+
+
 def top_keywords(rows: DataFrame, key: str, body: str, n: int = 4) -> DataFrame:
-    """key, rnk, word, freq: the most frequent words of 4 to 17 characters of each text, ties by first place."""
-    plain = F.regexp_replace(F.lower(F.col(body)), r"[^a-z0-9]+", " ")
-    words = rows.select(key, F.posexplode(F.split(F.trim(plain), " ")).alias("at", "word")).where("length(word) between 4 and 17").where(~F.col("word").isin(*STOP_WORDS))
-    counts = words.groupBy(key, "word").agg(F.count("*").alias("freq"), F.min("at").alias("at"))
-    best = Window.partitionBy(key).orderBy(F.desc("freq"), "at")
-    return counts.withColumn("rnk", F.row_number().over(best)).where(f"rnk <= {n}").select(key, "rnk", "word", "freq")
+    """key, rnk, word, freq: the most frequent words of 4 to 17 characters of each text, ties by first place.
+
+    Counted within the row, so nothing is exchanged; a null text has no words.
+    """
+    plain = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(body), F.lit(""))), r"[^a-z0-9]+", " "), " ")
+    words = F.filter(plain, lambda w: F.length(w).between(4, 17) & ~w.isin(*STOP_WORDS))
+    best = rows.select(key, _most_common(words, F.lit(n)).alias("best")).select(key, F.posexplode("best").alias("at", "x"))
+    return best.select(key, (F.col("at") + 1).alias("rnk"), "x.word", "x.freq")
 
 
 def select_top(events: DataFrame, threshold: float, n: int) -> DataFrame:

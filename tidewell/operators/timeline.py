@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text, urls
 from tidewell.operators.fuzzy import rare_words
 from tidewell.operators.ingest import first_per_key
-from tidewell.shared import kept
+from tidewell.shared import kept, moved, names, remove
 
 #: Names of the months, as file rows write them.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
@@ -98,15 +100,15 @@ def week_name(day: Column) -> Column:
     return F.format_string("auto-update/week-%d-%02d", F.year(day), week_of_year(day))
 
 
-def append_week(entries: DataFrame, path: str, day: Column) -> bool:
-    """Writes entries as the partition of one week; a week that is there already stays as it is (Z1, Z5, Z6). True if written."""
+def append_weeks(entries: DataFrame, path: str, day: Column) -> list[str]:
+    """Writes entries to the partitions of their weeks; a week that is there already stays as it is.
+
+    Returns the weeks written. They are drafted beside ``path`` first and put in place whole, by one rename each, so a
+    week is never half there and of two writers one wins. Entries without a day are left out.
+    """
     spark = entries.sparkSession
-    name = entries.select(week_name(day)).first()
-    if name is None:
-        return False
-    target = f"{path}/{name[0]}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return False
-    entries.write.parquet(target)
-    return True
+    draft = f"{path.rstrip('/')}.{uuid.uuid4().hex}.draft"
+    entries.where(day.isNotNull()).withColumn("week", F.substring_index(week_name(day), "/", -1)).repartition("week").write.partitionBy("week").parquet(draft)
+    written = [n.removeprefix("week=") for n in names(spark, draft) if n.startswith("week=") and moved(spark, f"{draft}/{n}", f"{path}/{n}")]
+    remove(spark, draft)
+    return written

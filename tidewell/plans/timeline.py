@@ -318,10 +318,10 @@ def _old_and_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("batch_no = 0"), rows.where("batch_no > 0")
 
 
-@query(f"""select entry_seq, id from (select entry_seq, id, row_number() over (partition by {_KEY} order by entry_seq) as n from {_NEW} x where id is not null and id not in (select id from {_OLD} where id is not null) and {_KEY} not in (select {_KEY} from {_OLD})) where n = 1""")
+@query(f"""select entry_seq, id from (select entry_seq, id, row_number() over (partition by {_KEY} order by entry_seq) as n from {_NEW} x where (id is null or id not in (select id from {_OLD} where id is not null)) and {_KEY} not in (select {_KEY} from {_OLD})) where n = 1""")
 def new_event_antijoin(spark: SparkSession, d: str) -> DataFrame:
     old, new = _old_and_new(spark, d)
-    return timeline.new_entries(new.where("id is not null"), old).select("entry_seq", "id")
+    return timeline.new_entries(new, old).select("entry_seq", "id")
 
 
 @query(f"""with n as (select entry_seq, id, day, {_KEY} as k from {_NEW}), o as (select id, {_KEY} as k from {_OLD}) select entry_seq, 'id' as kind from n where id in (select id from o where id is not null)
@@ -407,17 +407,20 @@ def events_in_range(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).where("day between date '2025-10-10' and date '2025-10-20' and category = 'Public Releases'").select("entry_seq")
 
 
-@query("select date_trunc('day', ts) as day, event_type, count(*) as n from events group by all")
+@query("""select day, event_type, n from (select date_trunc('day', ts) as day, event_type, count(*) as n from events where ts is not null group by all)
+where day + interval 1 day <= (select date_trunc('milliseconds', max(ts)) from events) - interval 2 day""")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Days that are over: those that end two days or more before the newest event; later ones wait in the state."""
     events = windows.parquet_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = windows.windowed_counts(events, "ts", "event_type")
-    return windows.run_once(counts, "complete").select(F.col("window_start").alias("day"), "event_type", "n")
+    return windows.run_once(counts).select(F.col("window_start").alias("day"), "event_type", "n")
 
 
 @query("select event_seq, max(title) as title from raw_events where ingested_at is not null group by event_seq")
 def stream_first_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """A first read takes all files as one batch, so no row is late in it; state is dropped 48 hours after the newest."""
     rows = windows.parquet_stream(spark, d, "raw_events").where("ingested_at is not null").withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
-    return windows.run_once(windows.first_deliveries(rows, "ingested_at", ["event_seq"], "3650 days").select("event_seq", "title"), "append")
+    return windows.run_once(windows.first_deliveries(rows, "ingested_at", ["event_seq"]).select("event_seq", "title"))
 
 
 _SCORES = " and ".join(f"(significance.{name} between 0 and 10 and not isnan(significance.{name}))" for name in analysis.WEIGHTS)

@@ -98,6 +98,16 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
 
 
+def moved(spark: SparkSession, path: str, to: str) -> bool:
+    """Renames a folder to a place where none is; False if there is one."""
+    source, files = _file(spark, path)
+    target, _ = _file(spark, to)
+    if files.exists(target):
+        return False
+    files.mkdirs(target.getParent())
+    return files.rename(source, target)
+
+
 def write_small(spark: SparkSession, path: str, text: str) -> None:
     """A small file that appears whole or not at all; raises if it is there already."""
     draft, files = _file(spark, f"{path}.{uuid.uuid4().hex}.draft")

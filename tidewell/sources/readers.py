@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import instants, text, urls
+from tidewell.shared import kept
 
 ITEM = "source string, id string, title string, url string, published_us bigint, summary string, authors array<string>"
 
@@ -151,7 +152,9 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     schema = "year int, month string, title string, description string, category string, link string"
     try:
         raw = spark.read.option("wholetext", "true").text(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     rows = raw.select(F.try_variant_get(F.try_parse_json("value"), "$", f"array<struct<{schema.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>").alias("rows"))
     if not rows.where("rows is null").isEmpty():
@@ -159,7 +162,12 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.inline("rows"))
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"rss": read_feed, "api": read_json_pages}
+def read_html_files(spark: SparkSession, path: str, source: str, base: str) -> DataFrame:
+    """The items of HTML files, a page per file."""
+    return read_html_pages(spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", "html"), source, base)
+
+
+READERS: dict[str, Callable[..., DataFrame]] = {"rss": read_feed, "api": read_json_pages, "html": read_html_files}
 
 
 def register(kind: str, reader: Callable[..., DataFrame]) -> None:
@@ -170,7 +178,8 @@ def register(kind: str, reader: Callable[..., DataFrame]) -> None:
 def read_sources(spark: SparkSession, sources: list[dict]) -> tuple[DataFrame | None, dict[str, str]]:
     """All enabled sources under one another (S2, S20, F18): dicts with kind, source and the reader's arguments.
 
-    A source that cannot be read is left out and named with its error; unknown kinds are named too.
+    Each source is read on its own and kept, so one that cannot be read, at once or in a task, is left out and named
+    with its error; unknown kinds are named too.
     """
     out, failed = None, {}
     for options in sources:
@@ -182,7 +191,7 @@ def read_sources(spark: SparkSession, sources: list[dict]) -> tuple[DataFrame |
             failed[options["source"]] = f"unknown kind {kind}"
             continue
         try:
-            rows = READERS[kind](spark, **options)
+            rows = kept(READERS[kind](spark, **options), "source")  # read here, so that a bad file fails here
         except Exception as error:  # noqa: BLE001  # one source must not end the run
             failed[options["source"]] = str(error)
             continue

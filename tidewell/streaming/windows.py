@@ -15,22 +15,22 @@ def parquet_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, at: str, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Counts per window and key; rows that come later than ``late`` after the newest are left out."""
+    """Counts per window and key. Rows that come later than ``late`` after the newest are left out.
+
+    In append mode a window comes out once, when it has ended that long before the newest row, and leaves the state.
+    """
     return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
 
 
 def first_deliveries(events: DataFrame, at: str, keys: list[str], late: str = "48 hours") -> DataFrame:
-    """Each key once, as long as its repeats come within ``late``."""
+    """Each key once, as long as its repeats come within ``late``; then the key leaves the state."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there, and reads what it wrote; state and output lie in the shared folder."""
+def run_once(stream: DataFrame) -> DataFrame:
+    """Runs a stream in append mode over all that is there, and reads what it wrote; state and output lie in the shared folder."""
     spark = stream.sparkSession
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
-    if mode == "complete":
-        query = stream.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).start()
-    else:
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).option("path", out).format("parquet").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", state).option("path", out).format("parquet").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)
