@@ -243,20 +243,23 @@ class HistoryStore:
             self.looked_at.append(0)
         crowd = entries.where("open").select("entry_seq", "idh", "wc")
         settled, rounds = self._settled(crowd, edges, tasks)
-        new = self._nearest(settled, crowd, edges).where("by < entry_seq").selectExpr("by as kept_seq", "entry_seq as dup_seq")
-        path = self._extended(entries.where("not open").select("entry_seq", "idh", "wc").unionByName(settled), classes, known.unionByName(new), rows)
+        new = self._nearest(settled, crowd, edges, tasks).where("by < entry_seq").selectExpr("by as kept_seq", "entry_seq as dup_seq")
+        path = self._extended(entries.where("not open").select("entry_seq", "idh", "wc").unionByName(settled).coalesce(tasks), classes, known.unionByName(new), rows)
         dropped(seen)
         for at in rounds:
             remove(self.spark, at)
         return path
 
     @staticmethod
-    def _nearest(rows: DataFrame, to: DataFrame, edges: DataFrame) -> DataFrame:
-        """``to`` (entry_seq, idh, wc) with ``by``: the least entry of ``rows`` with its id, or in its or a like class."""
+    def _nearest(rows: DataFrame, to: DataFrame, edges: DataFrame, tasks: int) -> DataFrame:
+        """``to`` (entry_seq, idh, wc) with ``by``: the least entry of ``rows`` with its id, or in its or a like class.
+
+        All come in ``tasks`` partitions; where that is one, nothing is exchanged and nothing broadcast.
+        """
         keyed = lambda x: x.selectExpr("entry_seq", "idh", "wc", "explode(array(idh, wc)) as key")
         least = keyed(rows).where("key is not null").groupBy("key").agg(F.min("entry_seq").alias("least")).withColumnRenamed("key", "nb")
-        marks = edges.join(least, "nb").groupBy("key").agg(F.min("least").alias("least"))
-        return keyed(to).join(marks, "key", "left").groupBy("entry_seq", "idh", "wc").agg(F.min("least").alias("by"))
+        marks = edges.join(least.hint("shuffle_hash"), "nb").coalesce(tasks).groupBy("key").agg(F.min("least").alias("least"))
+        return keyed(to).join(marks.hint("shuffle_hash"), "key", "left").coalesce(tasks).groupBy("entry_seq", "idh", "wc").agg(F.min("least").alias("by"))
 
     def _settled(self, crowd: DataFrame, edges: DataFrame, tasks: int) -> tuple[DataFrame, list[str]]:
         """The accepted among entries that no stored one matches but others of their batch may, and the folders of the rounds.
@@ -268,9 +271,9 @@ class HistoryStore:
         waiting, rounds, schema = crowd, [], "entry_seq bigint, idh bigint, wc bigint"
         read = lambda *paths: self.spark.read.schema(schema).parquet(*paths).coalesce(tasks)
         while True:
-            seen = self._nearest(waiting, waiting, edges)
+            seen = self._nearest(waiting, waiting, edges, tasks)
             first = seen.where("by is null or by = entry_seq").drop("by")
-            after = self._nearest(first, seen.where("by < entry_seq").drop("by"), edges).where("by is null").drop("by")
+            after = self._nearest(first, seen.where("by < entry_seq").drop("by"), edges, tasks).where("by is null").drop("by")
             at = scratch_path(self.spark, "round")
             first.withColumn("state", F.lit("accepted")).unionByName(after.withColumn("state", F.lit("waiting"))).write.partitionBy("state").parquet(at)
             rounds.append(at)
@@ -288,7 +291,7 @@ class HistoryStore:
             size += merged[-1]["prints"]
         spread = min(1 << max(0, (size // _PART_PRINTS).bit_length()), _MOST_PARTS)
         columns = ["entry_seq", "day", "words", "pos", "era", "fp"]
-        titles = self._prints(classes.join(accepted.where("wc is not null").select("wc", "entry_seq"), "wc"), (0,), "entry_seq").select(*columns)
+        titles = self._prints(classes.join(accepted.where("wc is not null").select("wc", "entry_seq").hint("shuffle_hash"), "wc"), (0,), "entry_seq").select(*columns)
         prints = titles.unionByName(accepted.where("idh is not null").selectExpr("entry_seq", "cast(null as int) as day", "cast(null as array<bigint>) as words", "0 as pos", f"{_ID_ERA} as era", "idh as fp"))
         if merged:
             prints = prints.unionByName(self._levels("prints", _PRINT, merged).select(*columns))
