@@ -29,6 +29,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,14 @@ _FILTER = "part bigint, n bigint, bits binary, step string, kind string, dir big
 _REPEAT = "kept_seq bigint, dup_seq bigint"
 #: The era of ids, apart from those of days; day buckets of an era; prints that a partition should hold; partitions of an era.
 _ID_ERA, _ERA_BUCKETS, _PART_PRINTS, _MOST_PARTS = -(1 << 20), 8, 1 << 16, 1 << 14
-#: Entries of a batch for each task of a step. A batch of no more needs no exchange of its own rows, and its probes
-#: (some 20 MB at most) are broadcast to the store; larger ones are shuffled.
+#: Entries of a batch for each task of a step. A batch of no more needs no exchange of its own rows.
 _TASK_ROWS = 50_000
+#: Probes are broadcast to the store up to so many bytes (counted from the batch's titles); larger ones are shuffled.
+_BROADCAST_BYTES = 64 << 20
+#: Prints up to which a job counts as small. Planning and compiling is most of such a job, so it is planned once, run
+#: uncompiled and in few partitions; a step has several of them for every batch, and the driver keeps what each leaves.
+_SMALL_PRINTS = 1_000_000
+_SMALL = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "6"}
 
 
 def title_words(title: Column) -> Column:
@@ -64,6 +70,19 @@ def winnowed(words: list[int], frequent: dict[int, int], share: int) -> list[int
     return sorted(words, key=lambda x: (frequent.get(x, 0), x))[: len(words) - (share * len(words) + 9) // 10 + 1]
 
 
+@contextmanager
+def _suited(spark: SparkSession, small: bool) -> Iterator[None]:
+    """The session with the settings of small jobs, if so; those from before come back."""
+    before = {name: spark.conf.get(name) for name in _SMALL} if small else {}
+    try:
+        for name in before:
+            spark.conf.set(name, _SMALL[name])
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 class HistoryStore:
     """The accepted entries and their fingerprints below ``path`` (in a folder that all executors share).
 
@@ -161,14 +180,14 @@ class HistoryStore:
         """The tables ``prints`` or ``filters`` of some levels, in one scan."""
         return self.spark.read.schema(schema).option("basePath", self.path).parquet(*[f"{self.path}/step={level['step']}/kind={kind}" for level in levels])
 
-    def _positives(self, probes: DataFrame, rows: int) -> DataFrame:
-        """The probes (era, fp, key, pos, day, words) that the filters of their partition may hold, with step and dir of it.
+    def _positives(self, probes: DataFrame, rows: int, small: bool) -> DataFrame:
+        """The probes (era, fp, key, pos) that the filters of their partition may hold, with step and dir of it.
 
         The batch's fingerprints go to the filters, in packets; filters are read where they lie.
         """
         packets = -(-rows * 20 // 1_000_000)
         where = ", ".join(f"struct('{level['step']}' as step, era * {_MOST_PARTS}L + pmod(fp, {level['spread']}) as part)" for level in self.levels)
-        probes = probes.selectExpr("struct(fp, key, pos, day, words) as probe", f"inline(array({where}))")
+        probes = probes.selectExpr("struct(fp, key, pos) as probe", f"inline(array({where}))")
         packed = probes.groupBy("step", "part", F.expr(f"pmod(shiftright(probe.fp, 20), {packets})").alias("packet")).agg(F.collect_list("probe").alias("probes"))
         looked_at = self._looked_at = self.spark.sparkContext.accumulator(0)
 
@@ -180,22 +199,26 @@ class HistoryStore:
                     if len(found):
                         looked_at.add(batch["n"][row].as_py())
                     same = [pa.array([batch[c][row].as_py()] * len(found), kind) for c, kind in (("step", pa.string()), ("part", pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*same, *found.flatten()], names=["step", "dir", "fp", "key", "pos", "day", "words"])
+                    yield pa.RecordBatch.from_arrays([*same, *found.flatten()], names=["step", "dir", "fp", "key", "pos"])
 
-        joined = self._levels("filters", _FILTER, self.levels).join(F.broadcast(packed) if rows <= _TASK_ROWS else packed, ["step", "part"])
-        screened = joined.select("step", "part", "n", "probes", "bits").mapInArrow(screen, "step string, dir bigint, fp bigint, key bigint, pos int, day int, words array<bigint>")
+        joined = self._levels("filters", _FILTER, self.levels).join(F.broadcast(packed) if small else packed, ["step", "part"])
+        screened = joined.select("step", "part", "n", "probes", "bits").mapInArrow(screen, "step string, dir bigint, fp bigint, key bigint, pos int")
         return screened.where("key is not null")
 
-    def _known(self, entries: DataFrame, classes: DataFrame, rows: int, eras: tuple[int, int]) -> DataFrame:
-        """``entries`` with kept_seq, the first stored entry that each repeats, or null."""
+    def _known(self, entries: DataFrame, classes: DataFrame, rows: int, weight: int, eras: tuple[int, int]) -> DataFrame:
+        """``entries`` with kept_seq, the first stored entry that each repeats, or null.
+
+        ``weight``: most bytes of the batch's probes with their words. A probe may be positive in every level.
+        """
+        small = weight * len(self.levels) <= _BROADCAST_BYTES
         ids = entries.where("idh is not null").select("idh").distinct()
-        ids = ids.selectExpr("idh as key", "cast(null as int) as day", "cast(null as array<bigint>) as words", "0 as pos", f"{_ID_ERA} as era", "idh as fp")
-        probes = self._prints(classes, (-1, 0, 1)).withColumnRenamed("wc", "key").unionByName(ids)
-        positives = self._positives(probes, rows)
+        probes = self._prints(classes, (-1, 0, 1)).selectExpr("wc as key", "pos", "era", "fp").unionByName(ids.selectExpr("idh as key", "0 as pos", f"{_ID_ERA} as era", "idh as fp"))
+        titles = classes.selectExpr("wc as key", "day", "words")
+        positives = self._positives(probes, rows, small).join(titles.hint("shuffle_hash"), "key", "left")
         stored = self._levels("prints", _PRINT, self.levels).selectExpr("step", "dir", "fp", "entry_seq as old_seq", "day as old_day", "pos as old_pos", "words as old_words")
         first, last = ((era + shift) * _MOST_PARTS for era, shift in zip(eras, (0, 1), strict=True))
         stored = stored.where(f"dir >= {first} and dir < {last} or dir < {(_ID_ERA + 1) * _MOST_PARTS}")
-        met = stored.join(F.broadcast(positives) if rows <= _TASK_ROWS else positives, ["step", "dir", "fp"])
+        met = stored.join(F.broadcast(positives) if small else positives, ["step", "dir", "fp"])
         hits = met.where(f"words is null or {self._alike('old_')}")
         known = hits.groupBy("key").agg(F.min("old_seq").alias("old_seq"))
         asked = entries.selectExpr("*", "explode(array(idh, wc)) as key")
@@ -215,7 +238,9 @@ class HistoryStore:
     def take_all(self, prepared: DataFrame) -> list[str]:
         """Takes in the batches of a kept table of prepared entries, one after the other; the folders of their repeats."""
         eras = lambda x: F.floor(F.floor(x / (self.days + 1)) / _ERA_BUCKETS)
-        sizes = prepared.groupBy("batch").agg(F.count("*").alias("rows"), eras(F.min("day") - self.days - 1).alias("first"), eras(F.max("day") + self.days + 1).alias("last")).orderBy("batch").collect()
+        words = F.when(F.col("wc").isNotNull(), F.size("words")).otherwise(0)
+        weight = F.sum((words - F.ceil(words * self.share / 10) + 1) * 3 * (words * 8 + 48))
+        sizes = prepared.groupBy("batch").agg(F.count("*").alias("rows"), weight.alias("weight"), eras(F.min("day") - self.days - 1).alias("first"), eras(F.max("day") + self.days + 1).alias("last")).orderBy("batch").collect()
         at, out = scratch_path(self.spark, "batches"), []
         if sizes:
             self.staged(prepared, at)
@@ -223,17 +248,18 @@ class HistoryStore:
         there = {kind: set(names(self.spark, f"{at}/{kind}")) for kind in ("classes", "edges")}
         for size in sizes:
             own = lambda kind, schema, of=f"batch={size['batch']}": self.spark.read.schema(schema).parquet(f"{at}/{kind}/{of}") if of in there.get(kind, {of}) else self.spark.createDataFrame([], schema)
-            out.append(self._take(own("entries", _ENTRY), own("classes", _CLASS), own("edges", _EDGE), size["rows"], (size["first"] or 0, size["last"] or 0)))
+            out.append(self._take(own("entries", _ENTRY), own("classes", _CLASS), own("edges", _EDGE), size["rows"], size["weight"], (size["first"] or 0, size["last"] or 0)))
         remove(self.spark, at)
         return out
 
-    def _take(self, entries: DataFrame, classes: DataFrame, edges: DataFrame, rows: int, eras: tuple[int, int]) -> str:
+    def _take(self, entries: DataFrame, classes: DataFrame, edges: DataFrame, rows: int, weight: int, eras: tuple[int, int]) -> str:
         """One step over the staged tables of a batch; the folder of its repeats."""
         tasks = -(-rows // _TASK_ROWS)
         entries, classes, edges = (x.coalesce(tasks) for x in (entries, classes, edges))
         seen = None
         if self.levels:
-            seen = kept(self._known(entries, classes, rows, eras), "seen")
+            with _suited(self.spark, rows <= _TASK_ROWS):
+                seen = kept(self._known(entries, classes, rows, weight, eras), "seen")
             self.looked_at.append(self._looked_at.value)
             entries = seen.coalesce(tasks)
             known = entries.where("kept_seq is not null").selectExpr("kept_seq", "entry_seq as dup_seq")
@@ -242,7 +268,8 @@ class HistoryStore:
             known = self.spark.createDataFrame([], _REPEAT)
             self.looked_at.append(0)
         crowd = entries.where("open").select("entry_seq", "idh", "wc")
-        settled, rounds = self._settled(crowd, edges, tasks)
+        with _suited(self.spark, rows <= _TASK_ROWS):
+            settled, rounds = self._settled(crowd, edges, tasks)
         new = self._nearest(settled, crowd, edges, tasks).where("by < entry_seq").selectExpr("by as kept_seq", "entry_seq as dup_seq")
         path = self._extended(entries.where("not open").select("entry_seq", "idh", "wc").unionByName(settled).coalesce(tasks), classes, known.unionByName(new), rows)
         dropped(seen)
@@ -305,7 +332,8 @@ class HistoryStore:
         for kind, more in (("filters", filters), ("repeats", repeats)):
             out = out.unionByName(more.withColumns({"kind": F.lit(kind), "dir": F.lit(0).cast("bigint")}), allowMissingColumns=True)
         step = uuid.uuid4().hex
-        out.repartition("kind", "dir").sortWithinPartitions("kind", "dir", "fp").write.partitionBy("kind", "dir").parquet(f"{self.path}/step={step}")
+        with _suited(self.spark, size <= _SMALL_PRINTS and rows <= _TASK_ROWS):
+            out.repartition("kind", "dir").sortWithinPartitions("kind", "dir", "fp").write.partitionBy("kind", "dir").parquet(f"{self.path}/step={step}")
         there = names(self.spark, f"{self.path}/step={step}")
         self.steps, self.levels = self.steps + 1, [*levels, {"step": step, "spread": spread, "prints": size}] if "kind=filters" in there else levels
         state = {"share": self.share, "days": self.days, "steps": self.steps, "levels": self.levels}
