@@ -26,6 +26,7 @@ one batch or many. A step then writes three tables: what the store knows, the ro
 
 from __future__ import annotations
 
+import gc
 import json
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,9 @@ _ID_ERA, _ERA_BUCKETS, _PART_PRINTS, _MOST_PARTS = -(1 << 20), 8, 1 << 16, 1 <<
 _TASK_ROWS = 50_000
 #: Probes are broadcast to the store up to so many bytes (counted from the batch's titles); larger ones are shuffled.
 _BROADCAST_BYTES = 64 << 20
+#: Steps after which the driver's collectors are asked to run: Spark drops the broadcasts and shuffle files of finished
+#: jobs when they find them, and many small jobs leave much of both before that happens by itself.
+_RELEASE_STEPS = 2
 #: Prints up to which a job counts as small. Planning and compiling is most of such a job, so it is planned once, run
 #: uncompiled and in few partitions; a step has several of them for every batch, and the driver keeps what each leaves.
 _SMALL_PRINTS = 1_000_000
@@ -249,6 +253,9 @@ class HistoryStore:
         for size in sizes:
             own = lambda kind, schema, of=f"batch={size['batch']}": self.spark.read.schema(schema).parquet(f"{at}/{kind}/{of}") if of in there.get(kind, {of}) else self.spark.createDataFrame([], schema)
             out.append(self._take(own("entries", _ENTRY), own("classes", _CLASS), own("edges", _EDGE), size["rows"], size["weight"], (size["first"] or 0, size["last"] or 0)))
+            if len(out) % _RELEASE_STEPS == 0:
+                gc.collect()
+                self.spark._jvm.System.gc()
         remove(self.spark, at)
         return out
 
