@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names of categories in analysed events and in timeline files, and the timeline's category for each.
@@ -54,8 +54,15 @@ def _jaccard(a: Column, b: Column) -> Column:
 
 def word_jaccard(a: Column, b: Column) -> Column:
     """Jaccard of the distinct words of more than two characters of two normal texts; 0 if either has none."""
-    words = lambda t: F.filter(F.array_distinct(F.split(t, " ")), lambda w: F.length(w) > 2)
-    return _jaccard(words(a), words(b))
+    return _jaccard(_long_words(a), _long_words(b))
+
+
+def _long_words(t: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(t, " ")), lambda w: F.length(w) > 2)
+
+
+def _key_terms(t: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(t, " ")), lambda w: (F.length(w) > 4) | w.rlike(r"[0-9]") | w.rlike(r"^[a-z]{2,}$"))
 
 
 def title_overlap(a: Column, b: Column) -> Column:
@@ -66,8 +73,7 @@ def title_overlap(a: Column, b: Column) -> Column:
 
 def key_term_overlap(a: Column, b: Column) -> Column:
     """Common key terms over the smaller number of them; key terms are long, alphabetic or hold a digit."""
-    terms = lambda t: F.filter(F.array_distinct(F.split(t, " ")), lambda w: (F.length(w) > 4) | w.rlike(r"[0-9]") | w.rlike(r"^[a-z]{2,}$"))
-    x, y = terms(a), terms(b)
+    x, y = _key_terms(a), _key_terms(b)
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y)))
 
 
@@ -85,6 +91,18 @@ def text_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.greatest(cheap, edit_similarity(a, b)))
 
 
+def with_similarity(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the text_similarity of two columns, whose words are taken apart once a row, not once a use."""
+    c = lambda part: F.col(f"_{part}")
+    parts = rows.withColumns({"_wa": _long_words(F.col(a)), "_wb": _long_words(F.col(b)), "_ta": _key_terms(F.col(a)), "_tb": _key_terms(F.col(b))})
+    parts = parts.withColumns({"_wn": F.size(F.array_intersect("_wa", "_wb")), "_tn": F.size(F.array_intersect("_ta", "_tb"))})
+    jaccard = F.when((F.size("_wa") == 0) | (F.size("_wb") == 0), 0.0).otherwise(c("wn") / (F.size("_wa") + F.size("_wb") - c("wn")))
+    terms = F.when((F.size("_ta") == 0) | (F.size("_tb") == 0), 0.0).otherwise(c("tn") / F.least(F.size("_ta"), F.size("_tb")))
+    contained = F.when(F.col(a).contains(F.col(b)) | F.col(b).contains(F.col(a)), 0.9).otherwise(0.0)
+    best = F.greatest(jaccard, contained, F.when(terms > 0.5, terms).otherwise(0.0), edit_similarity(F.col(a), F.col(b)))
+    return parts.withColumn(name, F.when(F.col(a) == F.col(b), 1.0).otherwise(best)).drop("_wa", "_wb", "_ta", "_tb", "_wn", "_tn")
+
+
 def slug(title: Column) -> Column:
     """Lower-case ASCII letters and digits with single dashes between, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(title), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")

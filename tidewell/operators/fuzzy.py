@@ -49,22 +49,25 @@ def url_classes(prepared: DataFrame) -> DataFrame:
 def candidate_pairs(prepared: DataFrame, hours: int = 48, least: float = 0.6, block: int = 2000) -> DataFrame:
     """(i, j) with i < j of all pairs at most ``hours`` apart, without those that cannot score ``least``.
 
-    The pairs of a time slot, and of a slot with the next, are shared out in squares of about ``block`` by ``block``
-    events, so a task holds that many however dense the events lie. The work grows with the pairs.
+    Each time slot meets itself and the later ones within ``hours``: one if that long a slot has at most about ``block``
+    events, else four of a quarter of that. Where such a slot has more, both sides are shared out by hash and every part
+    of the one meets every part of the other, so a task holds as many however dense the events lie. The work grows with
+    the pairs.
     """
     spark, width = prepared.sparkSession, hours * 3_600_000
-    rows = prepared.select("event_seq", F.floor(F.col("ts_us") / 1000).alias("ms"), F.when(F.col("url").isNotNull(), F.xxhash64("url")).alias("url"), "domain", "nt", "nc", "has_content").withColumn("slot", F.floor(F.col("ms") / width))
+    columns = ["event_seq", "ms", "slot", "url", "domain", "nt", "nc", "has_content"]
+    rows = prepared.withColumn("ms", F.floor(F.col("ts_us") / 1000)).withColumn("slot", F.floor(F.col("ms") * 4 / width)).withColumn("url", F.when(F.col("url").isNotNull(), F.xxhash64("url"))).select(*columns)
     top, squares = rows.groupBy("slot").count().agg(F.max("count"), F.sum(F.col("count") * F.col("count"))).first()
+    later = 4 if 4 * (top or 0) > block else 1
+    rows = rows.withColumn("slot", F.floor(F.col("slot") * later / 4))
     parts = -(-(top or 1) // block)
-    tasks = min(max(buckets(spark), 2 * (squares or 0) // 200_000), 1000)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("event_seq"), F.lit(parts)).cast("int"))
-    first, last, part = F.lit(0), F.lit(parts - 1), F.col("part")
-    place = lambda step, a, b: F.struct((F.col("slot") - step).alias("at"), F.lit(step).alias("step"), a.alias("a"), b.alias("b"))
-    # Within a slot the square (a, b) stands for (b, a) too.
-    lefts = F.concat(F.transform(F.sequence(part, last), lambda b: place(0, part, b)), F.transform(F.sequence(first, last), lambda b: F.struct(F.col("slot").alias("at"), F.lit(1).alias("step"), part.alias("a"), b.alias("b"))))
-    rights = F.concat(F.transform(F.sequence(first, part), lambda a: place(0, a, part)), F.transform(F.sequence(first, last), lambda a: place(1, a, part)))
-    keys = ["at", "step", "a", "b"]
-    sides = [rows.withColumn("place", F.explode(x)).select("place.*", "event_seq", "ms", "url", "domain", "nt", "nc", "has_content").repartition(tasks, *keys).groupBy(*keys) for x in (lefts, rights)]
+    tasks = min(max(buckets(spark), 5 * (squares or 0) // 4_000_000), 1000)
+    part = F.pmod(F.xxhash64("event_seq"), F.lit(parts)).cast("int")
+    every, at = F.sequence(F.lit(0), F.lit(parts - 1)), F.sequence(F.col("slot") - later, F.col("slot"))
+    lefts = F.transform(every, lambda b: F.struct(F.col("slot").alias("at"), part.alias("a"), b.alias("b")))
+    rights = F.flatten(F.transform(at, lambda s: F.transform(every, lambda a: F.struct(s.alias("at"), a.alias("a"), part.alias("b")))))
+    keys = ["at", "a", "b"]
+    sides = [rows.withColumn("place", F.explode(x)).select("place.*", *columns).repartition(tasks, *keys).groupBy(*keys) for x in (lefts, rights)]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         i, j = near.possible_pairs(left, right, width, least)
@@ -84,19 +87,25 @@ def duplicate_pairs(events: DataFrame, least: float = 0.6, hours: int = 48) -> D
     narrow, width = prepared.drop("nc", "source"), float(hours * 3_600_000)
     c = lambda side, name: F.col(f"{side}.{name}")
     by_url = url_classes(prepared).where("event_seq > first").select(F.col("first").alias("i"), F.col("event_seq").alias("j"))
-    pairs = candidate_pairs(prepared, hours, least).unionByName(by_url).distinct().join(narrow.alias("a"), F.col("i") == c("a", "event_seq")).join(narrow.alias("b"), F.col("j") == c("b", "event_seq"))
+    pairs = kept(candidate_pairs(prepared, hours, least).unionByName(by_url).distinct(), "candidates")
+    # Texts are compared in as many tasks as their number asks for: the rows are small, but each takes long.
+    tasks = min(max(buckets(prepared.sparkSession), pairs.count() // 10_000), 1000)
+    met = lambda left, right, key, other: left.repartition(tasks, key).join(right.repartition(tasks, other).hint("shuffle_hash"), F.col(key) == F.col(other))
+    pairs = met(met(pairs, narrow.alias("a"), "i", "a.event_seq"), narrow.alias("b"), "j", "b.event_seq")
     gap = F.abs(F.floor(c("a", "ts_us") / 1000) - F.floor(c("b", "ts_us") / 1000))
     same_url = F.coalesce(c("a", "url") == c("b", "url"), F.lit(False))
     rated = pairs.where(same_url | (gap <= width)).select(
         "i", "j", same_url.alias("same_url"),
-        (F.when(same_url, 1.0).otherwise(text.text_similarity(c("a", "nt"), c("b", "nt"))) * 0.5).alias("title"),
+        F.when(~same_url, c("a", "nt")).alias("ta"), F.when(~same_url, c("b", "nt")).alias("tb"),
         F.when(c("a", "domain") == c("b", "domain"), 0.1).otherwise(0.0).alias("domain"),
         ((1 - gap / width) * 0.1).alias("near"),
         (c("a", "has_content") & c("b", "has_content")).alias("both"),
     )
+    rated = text.with_similarity(rated, "ta", "tb", "title").withColumn("title", F.when(F.col("same_url"), 1.0).otherwise(F.col("title")) * 0.5).drop("ta", "tb")
     rated = kept(rated.where(same_url_or(F.col("title") + F.col("domain") + F.col("near") + F.when(F.col("both"), 0.3).otherwise(0.0) >= least - 1e-6)), "rated")
     bodies = lambda name, key: prepared.select(F.col("event_seq").alias(key), F.col("nc").alias(name))
-    open_ones = rated.where("both and not same_url").join(bodies("ca", "i"), "i").join(bodies("cb", "j"), "j").withColumn("content", text.text_similarity(F.col("ca"), F.col("cb")) * 0.3)
+    open_ones = met(met(rated.where("both and not same_url"), bodies("ca", "x"), "i", "x"), bodies("cb", "y"), "j", "y")
+    open_ones = text.with_similarity(open_ones, "ca", "cb", "content").withColumn("content", F.col("content") * 0.3)
     score = F.col("title") + F.col("content") + F.col("domain") + F.col("near")
     settled = rated.where("not both or same_url").withColumn("content", F.lit(0.0)).select("i", "j", F.when(F.col("same_url"), 1.0).otherwise(score).alias("score"))
     return open_ones.select("i", "j", score.alias("score")).unionByName(settled).where(F.col("score") >= least)
