@@ -118,3 +118,27 @@ def test_history_of_other_weeks_is_not_read(spark, tmp_path):
     assert 0 < store.looked_at[1] <= 600 * 2 / 10 + 10
     assert store.add(_frame(spark, [(2000, 2, None, "q r s", "2030-01-01T00:00:00.000Z")])).count() == 0
     assert store.looked_at[2] <= 10
+
+
+def test_waiting_batches_take_few_steps_that_all_look_into_the_store(spark, monkeypatch):
+    rows = [(r[0], 0 if k < 60 else k // 3, *r[2:]) for k, r in enumerate(some_rows(11))]  # a history and 34 batches
+    stores = []
+    monkeypatch.setattr(history.HistoryStore, "fix_order", lambda self, first, old=history.HistoryStore.fix_order: (stores.append(self), old(self, first)))
+    assert run(spark, rows) == sorted(brute(rows))
+    assert stores[0].steps == len(stores[0].looked_at) == 3
+    assert stores[0].looked_at[0] == 0 < min(stores[0].looked_at[1:])
+
+
+def test_titles_that_share_only_frequent_words_do_not_meet(spark, tmp_path):
+    template = "firm opens lab in city".split(" ")
+    titles = [[f"a{n}", f"b{n}", f"c{n}", *template] for n in range(300)]
+    rows = [(n, 0, None, " ".join(title), "2025-11-01T00:00:00.000Z") for n, title in enumerate(titles)]
+    rows += [(1000 + n, 0, None, " ".join([f"b{n}", *template, f"c{n}"]), "2025-11-02T00:00:00.000Z") for n in range(20)]
+    store = history.HistoryStore(spark, str(tmp_path / "store"))
+    prepared = store.prepared(_frame(spark, rows))
+    store.fix_order(prepared)
+    chosen = [(r["wc"], r["day"], r["words"], history.winnowed(r["words"], store.order, 6)) for r in prepared.collect()]
+    classes = spark.createDataFrame(chosen, history._CLASS)
+    met = store._prints(classes).join(store._probes(classes).withColumnRenamed("wc", "nb"), ["era", "fp"]).where("wc <> nb").select("wc", "nb").distinct()
+    assert met.count() == 40  # each of the 20 alike pairs from both sides, of 102,080 pairs with five words in common
+    assert {tuple(r) for r in store.add(_frame(spark, rows)).collect()} == {(n, 1000 + n) for n in range(20)}
