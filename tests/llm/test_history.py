@@ -142,3 +142,10 @@ def test_titles_that_share_only_frequent_words_do_not_meet(spark, tmp_path):
     met = store._prints(classes).join(store._probes(classes).withColumnRenamed("wc", "nb"), ["era", "fp"]).where("wc <> nb").select("wc", "nb").distinct()
     assert met.count() == 40  # each of the 20 alike pairs from both sides, of 102,080 pairs with five words in common
     assert {tuple(r) for r in store.add(_frame(spark, rows)).collect()} == {(n, 1000 + n) for n in range(20)}
+
+
+def test_a_level_of_ids_alone_and_a_long_title(spark):
+    long = " ".join(f"w{n}" for n in range(700))
+    day = "1960-01-01T00:00:00.000Z"
+    rows = [(1, 0, "a", None, None), (2, 1, "b", long, day), (3, 2, "c", f"{long} more", day), (4, 3, "a", long[:20], day), (5, 3, "b", None, None)]
+    assert run(spark, rows) == sorted(brute(rows)) == [(1, 4), (2, 3), (2, 5)]
